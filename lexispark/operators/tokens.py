@@ -1,0 +1,133 @@
+"""Token-level jobs over document tables."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from lexispark.functions import pieces as pc, shapes, text as tx
+from lexispark.plans.skew import salted_join
+
+# Tokens counted as punctuation.
+PUNCTUATION_TOKENS = [
+    ",", ".", ":", ";", "?", "!", '"', "'", "/", "...", "-", "LBKT", "RBKT", "--", "``", "''", ")", "(",
+]
+
+
+@F.pandas_udf(T.StringType())
+def compose_unicode(texts: pd.Series) -> pd.Series:
+    """Decomposed letters to composed ones; Spark has no built-in for it."""
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def normalize_unicode(df: DataFrame, col: str = "text") -> DataFrame:
+    return df.withColumn(col, tx.one_line(compose_unicode(F.col(col))))
+
+
+def split_sentences(df: DataFrame, col: str = "text", limit: int | None = None) -> DataFrame:
+    parts = tx.sentences(F.col(col))
+    if limit is not None:
+        parts = F.slice(parts, 1, limit)
+    return df.select(*[c for c in df.columns if c != col], F.posexplode(parts).alias("sent_no", "sentence"))
+
+
+def normalize_tokens(tokens: Column, punctuation=False, numbers=False, lowercase=False) -> Column:
+    """Optional rewrites of a token array: marks to PUNCT, numbers to [NUM], lower case."""
+    number = rf"^(?:{dict(shapes.GENERAL)['number']}%?)$"
+    out = tokens
+    if punctuation:
+        out = F.transform(
+            out, lambda t: F.when(t.isin(PUNCTUATION_TOKENS), "PUNCT").otherwise(F.translate(t, ",", "."))
+        )
+    if numbers:
+        out = F.transform(out, lambda t: F.when(t.rlike(number), "[NUM]").otherwise(t))
+    return F.transform(out, F.lower) if lowercase else out
+
+
+def regex_tokens(c: Column, delimiter: str, min_chars: int = 1, lowercase: bool = True) -> Column:
+    source = F.lower(c) if lowercase else c
+    return F.filter(F.split(source, delimiter), lambda t: F.length(t) >= min_chars)
+
+
+def remove_stopwords(tokens: Column, stopwords: list[str]) -> Column:
+    """Drop listed tokens, whatever their case; repeats of the others stay."""
+    low = [w.lower() for w in stopwords]
+    return F.filter(tokens, lambda t: ~F.lower(t).isin(low))
+
+
+def word_counts(df: DataFrame, tokens: Column, name: str = "word") -> DataFrame:
+    return df.select(F.explode(tokens).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
+
+
+def word_rows(df: DataFrame, doc_id: str = "doc_id", col: str = "text") -> DataFrame:
+    """One row per word with its number and character offsets.
+
+    The table is laid out by document before the words are exploded, so that
+    the running length needs no shuffle of token rows.
+    """
+    in_doc = W.partitionBy(doc_id).orderBy("word_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (
+        df.select(doc_id, col)
+        .repartition(doc_id)
+        .select(doc_id, F.posexplode(pc.words_with_gaps(F.col(col))).alias("word_no", "w"))
+        .select(doc_id, "word_no", F.col("w.word").alias("word"), F.length("w.gap").alias("gap_len"))
+        .withColumn("end", F.sum(F.col("gap_len") + F.length("word")).over(in_doc))
+        .withColumn("start", F.col("end") - F.length("word"))
+        .select(doc_id, F.col("word_no").cast("bigint").alias("word_no"), "word", "start", "end")
+    )
+
+
+def route_words(words: DataFrame, dictionary: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Add ``language`` to word rows; ``dictionary`` has one lower-case ``entry`` per row."""
+    known = dictionary.select(F.col("entry").alias("low"), F.lit(True).alias("known"))
+    return (
+        salted_join(words.withColumn("low", F.lower("word")), known, "low", [doc_id, "word_no"], "left")
+        .withColumn("language", pc.route(F.col("word"), F.coalesce("known", F.lit(False))))
+        .drop("low", "known")
+    )
+
+
+def piece_rows(routed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """One row per sub-word piece of routed words, with offsets; ``piece_no`` orders them inside a word."""
+    parts = pc.routed_pieces(F.col("word"), F.col("language"))
+    source = F.when(F.col("language") == "eng", "sub").otherwise(F.col("language"))
+    exploded = routed.withColumn("parts", parts).select(
+        doc_id, "word_no", "language", "start", "parts", F.posexplode("parts").alias("piece_no", "piece")
+    )
+    before = F.aggregate(
+        F.slice("parts", F.lit(1), F.col("piece_no")), F.lit(0), lambda n, p: n + F.length(p)
+    )
+    return exploded.withColumn("start", F.col("start") + before).select(
+        doc_id,
+        "word_no",
+        F.col("piece_no").cast("bigint").alias("piece_no"),
+        "piece",
+        source.alias("source"),
+        "language",
+        "start",
+        (F.col("start") + F.length("piece")).alias("end"),
+    )
+
+
+def decode_pieces(pieces: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Rebuild the text of each document from its pieces; gaps become spaces."""
+    in_doc = W.partitionBy(doc_id).orderBy("start")
+    gap = F.col("start") - F.coalesce(F.lag("end").over(in_doc), F.lit(0))
+    return (
+        pieces.withColumn("part", F.concat(F.repeat(F.lit(" "), gap.cast("int")), "piece"))
+        .groupBy(doc_id)
+        .agg(F.array_sort(F.collect_list(F.struct("start", "part"))).alias("parts"))
+        .select(doc_id, F.array_join(F.col("parts.part"), "").alias("text"))
+    )
+
+
+def language_words(routed: DataFrame, language: str, doc_id: str = "doc_id") -> DataFrame:
+    """The words of each document routed to one language, in order."""
+    return (
+        routed.filter(F.col("language") == language)
+        .groupBy(doc_id)
+        .agg(F.array_sort(F.collect_list(F.struct("word_no", "word"))).alias("ws"))
+        .select(doc_id, F.array_join(F.col("ws.word"), " ").alias("words"))
+    )
