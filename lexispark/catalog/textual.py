@@ -138,8 +138,12 @@ def map_characters(spark, sf):
     return words(spark, sf).select("word", pc.character_class(F.col("word")).alias("mapped"))
 
 
+_V = "aeoiuyAEOIUY" + VOWELS_MARKED + VOWELS_MARKED.upper()
+_SYLLABLE = f"(?s)^([^{_V}]*)(?:(.*[{_V}])([^{_V}]*))?$"
+
+
 def parts_sql(w: str) -> str:
-    groups = ", ".join(f"regexp_extract({w}, '{pc.SYLLABLE}', {g})" for g in (1, 2, 3))
+    groups = ", ".join(f"regexp_extract({w}, '{_SYLLABLE}', {g})" for g in (1, 2, 3))
     return f"list_filter([{groups}], lambda p: p <> '')"
 
 
@@ -205,12 +209,12 @@ ROUTE_SQL = f"""CASE WHEN length(word) > 7 THEN 'eng'
 
 def routed_sql(source: str) -> str:
     """Word rows of a relation (doc_id, text) with number, language and offsets."""
-    rows = numbered(f"regexp_extract_all(text, '{_WORD}')", "doc_id, text", source, "word")
-    gaps = f"string_split_regex(text, '{_WORD}')"
     return f"""(
       SELECT doc_id, i - 1 AS word_no, word, {ROUTE_SQL} AS language,
              sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word) AS start
-      FROM (SELECT doc_id, i, word, {gaps}[i] AS gap FROM {rows}))"""
+      FROM (SELECT doc_id, unnest(ws) AS word, unnest(gaps) AS gap, unnest(range(1, len(ws) + 1)) AS i
+            FROM (SELECT doc_id, ws, string_split_regex(text, '{_WORD}')[1:len(ws)] AS gaps
+                  FROM (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}') AS ws FROM {source}))))"""
 
 
 def pieces_sql(source: str) -> str:

@@ -8,12 +8,11 @@ from lexispark.functions.alphabets import (
     FOREIGN_CONSONANTS,
     MARKED_FROM,
     MARKED_TO,
-    VOWELS_MARKED,
     VOWELS_PLAIN,
 )
 
-_VOWELS = VOWELS_PLAIN + VOWELS_PLAIN.upper() + VOWELS_MARKED + VOWELS_MARKED.upper()
-SYLLABLE = rf"(?s)^([^{_VOWELS}]*)(?:(.*[{_VOWELS}])([^{_VOWELS}]*))?$"
+_VOWEL = f"[{VOWELS_PLAIN}{VOWELS_PLAIN.upper()}]"
+_NOT_VOWEL = f"[^{VOWELS_PLAIN}{VOWELS_PLAIN.upper()}]"
 # Words are runs of letters, digits and underscores; any other visible character stands alone.
 WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]"
 # Marks routed as punctuation.
@@ -22,7 +21,19 @@ PUNCTUATION = r"""[,.;:'?"`!@#$%^&*)()}{|~/\\+=-]+"""
 
 def syllable_parts(word: Column, max_chars: int | None = 7) -> Column:
     """Onset, nucleus and coda, empty ones left out; a longer word stays whole."""
-    parts = F.filter(F.array(*[F.regexp_extract(word, SYLLABLE, g) for g in (1, 2, 3)]), lambda p: p != "")
+    # Marks are removed one for one, so that a short character class finds every vowel.
+    base = F.translate(word, MARKED_FROM + MARKED_FROM.upper(), MARKED_TO + MARKED_TO.upper())
+    n = F.length(word)
+    onset = F.length(F.regexp_extract(base, f"^{_NOT_VOWEL}*", 0))
+    coda = F.when(onset < n, F.length(F.regexp_extract(base, f"{_NOT_VOWEL}*$", 0))).otherwise(0)
+    parts = F.filter(
+        F.array(
+            F.substring(word, F.lit(1), onset),
+            F.substring(word, onset + 1, n - onset - coda),
+            F.substring(word, n - coda + 1, coda),
+        ),
+        lambda p: p != "",
+    )
     if max_chars is None:
         return parts
     return F.when(F.length(word) > max_chars, F.array(word)).otherwise(parts)
@@ -77,7 +88,7 @@ def route(word: Column, in_dictionary: Column) -> Column:
     return (
         F.when(F.length(word) > 7, "eng")
         .when(low.rlike(f"[{FOREIGN_CONSONANTS}]"), "eng")
-        .when(low.rlike(f"[{VOWELS_MARKED}đ]"), "vie")
+        .when(F.length(F.translate(low, MARKED_FROM, "")) < F.length(low), "vie")
         .when(in_dictionary, "vie")
         .when(word.rlike(f"^{PUNCTUATION}$"), "vie")
         .when(word.rlike(r"^\p{Nd}+$"), "vie")

@@ -32,21 +32,19 @@ def one_line(c: Column) -> Column:
     return trim_ws(F.regexp_replace(c, WS + "+", " "))
 
 
-def has_charset_throughout(c: Column, charset: str, window: int, require_space: bool = False) -> Column:
-    """True when every ``window``-long stretch of the lower-cased text holds a charset letter.
+def _throughout(c: Column, mark: str, window: int) -> Column:
+    """Equal to sliding a window: one without the mark exists exactly when two marks lie that far apart."""
+    long_gap = F.exists(F.split(c, mark), lambda gap: F.length(gap) >= window)
+    return ~long_gap & ((F.length(c) >= window) | F.contains(c, F.lit(mark)) | (F.length(c) == 0))
 
-    Equal to sliding the window character by character: a stretch without such
-    a letter exists exactly when some run of ``window`` other letters does.
-    """
-    low = F.lower(c)
-    gap = rf"(?s)[^{charset}]{{{window}}}"
-    ok = ~low.rlike(gap) & (
-        (F.length(low) >= window) | low.rlike(f"[{charset}]") | (F.length(low) == 0)
-    )
+
+def has_charset_throughout(c: Column, charset: str, window: int, require_space: bool = False) -> Column:
+    """True when every ``window``-long stretch of the lower-cased text holds a charset letter."""
+    mark = charset[0]
+    low = F.translate(F.lower(c), charset, mark * len(charset))
+    ok = _throughout(low, mark, window)
     if require_space:
-        ok = ok & ~low.rlike(rf"(?s)[^ ]{{{window}}}") & (
-            (F.length(low) >= window) | low.contains(" ") | (F.length(low) == 0)
-        )
+        ok = ok & _throughout(low, " ", window)
     return ok
 
 

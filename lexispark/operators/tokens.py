@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from lexispark.functions import pieces as pc, shapes, text as tx
-from lexispark.plans.skew import salted_join
+from lexispark.plans.skew import by_key, salted_join
 
 # Tokens counted as punctuation.
 PUNCTUATION_TOKENS = [
@@ -69,8 +69,7 @@ def word_rows(df: DataFrame, doc_id: str = "doc_id", col: str = "text") -> DataF
     """
     in_doc = W.partitionBy(doc_id).orderBy("word_no").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        df.select(doc_id, col)
-        .repartition(doc_id)
+        by_key(df.select(doc_id, col), doc_id)
         .select(doc_id, F.posexplode(pc.words_with_gaps(F.col(col))).alias("word_no", "w"))
         .select(doc_id, "word_no", F.col("w.word").alias("word"), F.length("w.gap").alias("gap_len"))
         .withColumn("end", F.sum(F.col("gap_len") + F.length("word")).over(in_doc))
