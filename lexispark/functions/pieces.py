@@ -74,12 +74,11 @@ def character_class(token: Column) -> Column:
     )
 
 
-def words_with_gaps(c: Column) -> Column:
-    """array<struct<gap, word>>: every word with the text since the word before it."""
-    found = F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
-    gaps = F.slice(F.split(c, WORD), F.lit(1), F.size(found))
-    return F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("word")), lambda x: F.struct(
-        x["gap"].alias("gap"), x["word"].alias("word")))
+def matches_with_gaps(c: Column, pattern: str) -> Column:
+    """array<struct<gap, match>>: every match with the text since the match before it."""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    gaps = F.slice(F.split(c, pattern), F.lit(1), F.size(found))
+    return F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
 
 
 def route(word: Column, in_dictionary: Column) -> Column:

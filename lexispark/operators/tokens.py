@@ -61,23 +61,28 @@ def word_counts(df: DataFrame, tokens: Column, name: str = "word") -> DataFrame:
     return df.select(F.explode(tokens).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
 
 
-def word_rows(df: DataFrame, doc_id: str = "doc_id", col: str = "text") -> DataFrame:
-    """One row per word with its number and character offsets.
+def match_rows(df: DataFrame, keys: list[str], col: str, pattern: str) -> DataFrame:
+    """One row per pattern match: ``keys, match_no, match, start, end`` (character offsets).
 
-    The table is laid out by document before the words are exploded, so that
-    the running length needs no shuffle of token rows.
+    The table is laid out by key before the matches are exploded, so that the
+    running length needs no shuffle of match rows.
     """
-    in_doc = W.partitionBy(doc_id).orderBy("word_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    in_row = W.partitionBy(*keys).orderBy("match_no").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        by_key(df.select(doc_id, col), doc_id)
-        .select(doc_id, F.posexplode(pc.words_with_gaps(F.col(col))).alias("word_no", "w"))
-        .select(doc_id, "word_no", F.col("w.word").alias("word"), F.length("w.gap").alias("gap_len"))
-        .withColumn("end", F.sum(F.col("gap_len") + F.length("word")).over(in_doc))
-        .withColumn("start", F.col("end") - F.length("word"))
-        .select(doc_id, F.col("word_no").cast("bigint").alias("word_no"), "word", "start", "end")
+        by_key(df.select(*keys, col), *keys)
+        .select(*keys, F.posexplode(pc.matches_with_gaps(F.col(col), pattern)).alias("match_no", "m"))
+        .select(*keys, "match_no", F.col("m.match").alias("match"), F.length("m.gap").alias("gap_len"))
+        .withColumn("end", F.sum(F.col("gap_len") + F.length("match")).over(in_row))
+        .withColumn("start", F.col("end") - F.length("match"))
+        .select(*keys, F.col("match_no").cast("bigint").alias("match_no"), "match", "start", "end")
     )
 
 
+def word_rows(df: DataFrame, doc_id: str = "doc_id", col: str = "text") -> DataFrame:
+    """One row per word with its number and character offsets."""
+    return match_rows(df, [doc_id], col, pc.WORD).withColumnsRenamed({"match_no": "word_no", "match": "word"})
+
+
 def route_words(words: DataFrame, dictionary: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Add ``language`` to word rows; ``dictionary`` has one lower-case ``entry`` per row."""
     known = dictionary.select(F.col("entry").alias("low"), F.lit(True).alias("known"))
