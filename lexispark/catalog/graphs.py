@@ -306,7 +306,7 @@ def transition_contexts_eager(spark, sf):
 
 @query("transition_counts")
 def transition_counts(spark, sf):
-    return tr.transition_counts(tr.transition_contexts(trees(spark, sf), KEYS))
+    return tr.transition_totals(trees(spark, sf))
 
 
 @query(
