@@ -52,13 +52,15 @@ def trees(spark, sf, reach: int = 3):
         side = F.when(i + 1 == m, "root").when(i + 1 < m, "l").otherwise("r")
         return F.concat(side, F.pmod(F.length(form), F.lit(3)).cast("string"))
 
-    return rows.select(
-        *KEYS,
+    arrays = F.struct(
         "forms",
         F.transform("forms", tag).alias("upos"),
         F.transform("forms", head).alias("heads"),
         F.transform("forms", label).alias("labels"),
     )
+    # The generator keeps the optimizer from moving these expressions into the
+    # lambdas that read the arrays by index, where they would run once per token.
+    return rows.select(*KEYS, F.inline(F.array(arrays)))
 
 
 _TAG_SQL = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for p, n in _TAGS) + " ELSE 'VERB' END"
