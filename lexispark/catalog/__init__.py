@@ -6,7 +6,7 @@ import importlib
 
 from lexispark.catalog.registry import ORACLES, QUERIES
 
-_MODULES = ["corpus", "textual", "encoding", "dialogue", "numeric", "graphs", "exchange"]
+_MODULES = ["corpus", "textual", "encoding", "dialogue", "numeric", "graphs", "exchange", "segmentation", "models"]
 
 for _name in _MODULES:
     importlib.import_module(f"lexispark.catalog.{_name}")
