@@ -10,6 +10,7 @@ from lexispark.catalog.textual import dictionary, docs, parts_sql, pieces_sql, t
 from lexispark.functions import text as tx
 from lexispark.functions.draws import MODULUS, draw_sql
 from lexispark.operators import packing, tokens as tk, vocab
+from lexispark.plans.checkpoints import cut_lineage
 
 BIG = "bigint"
 
@@ -44,7 +45,8 @@ def term_vocabulary(spark, sf):
     """,
 )
 def inverted_index(spark, sf):
-    index = vocab.inverted_index(doc_tokens(spark, sf), "doc_id", "token", 5, docs_per_segment=256)
+    tokens = docs(spark, sf).select("doc_id", tx.words(F.lower("text")).alias("tokens"))
+    index = vocab.inverted_index(tokens, "doc_id", "tokens", 5, docs_per_segment=256)
     return index.select(
         "token", "segment", "doc_freq", F.array_join(F.col("docs").cast("array<string>"), " ").alias("docs")
     )
@@ -80,7 +82,8 @@ def piece_vocabulary_pruned(spark, sf):
 
 
 def encoded(spark, sf):
-    pieces = split_words(spark, sf)
+    # Distinct words serve the vocabulary and the encoding: computed once.
+    pieces = cut_lineage(split_words(spark, sf))
     return vocab.encode(docs(spark, sf), vocab.word_ids(pieces, vocab.piece_vocabulary(pieces)))
 
 

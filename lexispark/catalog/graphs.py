@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexispark.catalog.dialogue import _BIO_SQL, EDGES_SQL, bio, edges as act_edges
+from lexispark.catalog.dialogue import _BIO_SQL, bio
 from lexispark.catalog.registry import query, table
 from lexispark.catalog.sqlparts import numbered, sentences_sql, words_sql
 from lexispark.functions import text as tx
 from lexispark.functions.draws import draw_sql
 from lexispark.operators import graph as gr, tokens as tk, transitions as tr
-from lexispark.plans.skew import by_key
+from lexispark.plans.checkpoints import cut_lineage
 
 KEYS = ["doc_id", "sent_no"]
 _TAGS = [
@@ -160,8 +160,9 @@ def _pagerank_sql() -> str:
 
 @query("pagerank", _pagerank_sql())
 def pagerank(spark, sf):
-    ns = nodes(spark, sf)
-    out = gr.pagerank(ns, edges(spark, sf), iterations=_ROUNDS, tolerance=None)
+    parsed = cut_lineage(trees(spark, sf))
+    names = gr.corpus_nodes(parsed, KEYS)
+    out = gr.pagerank(names, gr.corpus_edges(parsed), iterations=_ROUNDS, tolerance=None)
     return out.select("node", F.round(F.col("rank") * out.count(), 6).alias("rank"))
 
 
@@ -178,7 +179,8 @@ def _eigenvector_sql() -> str:
 
 @query("eigenvector_centrality", _eigenvector_sql())
 def eigenvector_centrality(spark, sf):
-    out = gr.eigenvector_centrality(nodes(spark, sf), edges(spark, sf), iterations=_ROUNDS, tolerance=None)
+    parsed = cut_lineage(trees(spark, sf))
+    out = gr.eigenvector_centrality(gr.corpus_nodes(parsed, KEYS), gr.corpus_edges(parsed), iterations=_ROUNDS, tolerance=None)
     return out.withColumn("centrality", F.round("centrality", 8))
 
 

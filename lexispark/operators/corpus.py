@@ -95,23 +95,25 @@ def dedup_paragraphs(
     """Keep one occurrence of every paragraph corpus-wide and rebuild the documents.
 
     The kept occurrence is the first line of the smallest document id. Repeats
-    inside a document fall to ``array_distinct`` before any shuffle; then a
-    digest belongs to at most one line of a document and ``min(doc_id)`` over
-    digests (fixed-width rows, map-side combine) settles the owner. Texts are
-    shuffled once, by document id, and documents left with nothing disappear.
+    inside a document fall to ``array_distinct`` before any shuffle, so a digest
+    has one place per document, and the owner of a digest is found by
+    ``min(doc_id)`` with ``min_by(place)``: fixed-width rows and buffers, combined
+    on the map side, so a paragraph copied a billion times costs one row per
+    task. Texts are shuffled once, by document id, where the kept places meet
+    them. Documents left with nothing disappear.
     """
     parts = df.select(
         doc_id, F.array_distinct(tx.paragraphs(F.col(col), keep_empty)).alias("parts")
     )
-    owners = (
-        parts.select(doc_id, F.explode("parts").alias("part"))
+    kept = (
+        parts.select(doc_id, F.posexplode("parts").alias("place", "part"))
         .groupBy(tx.digest(F.col("part")).alias("digest"))
-        .agg(F.min(doc_id).alias(doc_id))
+        .agg(F.min_by("place", doc_id).alias("place"), F.min(doc_id).alias(doc_id))
         .groupBy(doc_id)
-        .agg(F.collect_set("digest").alias("owned"))
+        .agg(F.sort_array(F.collect_list("place")).alias("places"))
     )
-    kept = F.filter("parts", lambda p: F.array_contains(F.col("owned"), tx.digest(p)))
-    return parts.join(owners, doc_id).select(doc_id, F.array_join(kept, "\n").alias(col))
+    text = F.array_join(F.transform("places", lambda i: F.get("parts", i)), "\n")
+    return parts.join(kept, doc_id).select(doc_id, text.alias(col))
 
 
 def dedup_funnel(df: DataFrame, doc_id: str = "doc_id", col: str = "text") -> DataFrame:

@@ -88,21 +88,25 @@ def in_degree(nodes: DataFrame, edges: DataFrame, n_nodes: int) -> DataFrame:
     )
 
 
-def _laid_out(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes by name and collapsed edges by source, stored once in that layout.
+def _laid_out(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``names`` (node, id), nodes by id with their out-degree, and collapsed edges by source id.
 
-    A checkpoint keeps the layout, so that a round shuffles only the messages.
+    Nodes and edges are stored once in the layout of the rounds. A checkpoint
+    keeps it, so that a round shuffles only the messages, keyed by numbers.
     """
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    flat = collapse(edges)
-    degree = flat.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
-    state = nodes.select("node").join(degree, "node", "left").select("node", F.coalesce("out", F.lit(0)).alias("out"))
-    return cut_lineage(state.repartition(n, "node")), cut_lineage(flat.repartition(n, "src"))
+    names = cut_lineage(integer_ids(nodes, "node"))
+    named = lambda side: names.select(F.col("node").alias(side), F.col("id").alias(f"{side}_id"))
+    flat = collapse(edges).join(named("src"), "src").join(named("dst"), "dst").select("src_id", "dst_id")
+    flat = cut_lineage(flat.repartition(n, "src_id"))
+    degree = flat.groupBy(F.col("src_id").alias("id")).agg(F.count("*").alias("out"))
+    state = names.select("id").repartition(n, "id").join(degree, "id", "left").select("id", F.coalesce("out", F.lit(0)).alias("out"))
+    return names, cut_lineage(state), flat
 
 
 def _received(edges: DataFrame, state: DataFrame, message: Column) -> DataFrame:
-    sent = state.select(F.col("node").alias("src"), message.alias("m"))
-    return edges.join(sent, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("m").alias("m"))
+    sent = state.select(F.col("id").alias("src_id"), message.alias("m"))
+    return edges.join(sent, "src_id").groupBy(F.col("dst_id").alias("id")).agg(F.sum("m").alias("m"))
 
 
 def pagerank(
@@ -113,47 +117,48 @@ def pagerank(
     Ranks sum to 1, so the even share follows from the sum of the messages: one
     number per round comes to the driver.
     """
-    state, flat = _laid_out(nodes, edges)
+    names, state, flat = _laid_out(nodes, edges)
     n = state.count()
     state = state.withColumn("rank", F.lit(1.0 / n))
     for _ in range(iterations):
         got = _received(flat, state.filter("out > 0"), F.col("rank") / F.col("out"))
-        joined = state.join(got, "node", "left").select(
-            "node", "out", F.col("rank").alias("old"), F.coalesce("m", F.lit(0.0)).alias("m")
+        joined = cut_lineage(
+            state.join(got, "id", "left").select(
+                "id", "out", F.col("rank").alias("old"), F.coalesce("m", F.lit(0.0)).alias("m")
+            )
         )
-        joined = cut_lineage(joined)
         even = (1.0 - damping * joined.agg(F.sum("m")).first()[0]) / n
-        state = joined.select("node", "out", "old", (F.col("m") * damping + even).alias("rank"))
+        state = joined.select("id", "out", "old", (F.col("m") * damping + even).alias("rank"))
         if tolerance is not None:
             moved = state.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
             if moved < n * tolerance:
                 break
         state = state.drop("old")
-    return state.select("node", "rank")
+    return names.join(state, "id").select("node", "rank")
 
 
 def eigenvector_centrality(
     nodes: DataFrame, edges: DataFrame, iterations: int = 100, tolerance: float | None = 1e-6
 ) -> DataFrame:
     """``node, centrality``: power iteration over incoming edges, scaled to length 1 in every round."""
-    state, flat = _laid_out(nodes, edges)
+    names, state, flat = _laid_out(nodes, edges)
     n = state.count()
-    state = state.select("node", F.lit(1.0 / n).alias("x"))
+    state = state.select("id", F.lit(1.0 / n).alias("x"))
     for _ in range(iterations):
         got = _received(flat, state, F.col("x"))
         joined = cut_lineage(
-            state.join(got, "node", "left").select(
-                "node", F.col("x").alias("old"), (F.col("x") + F.coalesce("m", F.lit(0.0))).alias("y")
+            state.join(got, "id", "left").select(
+                "id", F.col("x").alias("old"), (F.col("x") + F.coalesce("m", F.lit(0.0))).alias("y")
             )
         )
         norm = joined.agg(F.sum(F.col("y") * F.col("y"))).first()[0] ** 0.5 or 1.0
-        state = joined.select("node", "old", (F.col("y") / norm).alias("x"))
+        state = joined.select("id", "old", (F.col("y") / norm).alias("x"))
         if tolerance is not None:
             moved = state.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0]
             if moved < n * tolerance:
                 break
         state = state.drop("old")
-    return state.select("node", F.col("x").alias("centrality"))
+    return names.join(state, "id").select("node", F.col("x").alias("centrality"))
 
 
 def integer_ids(names: DataFrame, name: str, id_name: str = "id") -> DataFrame:
@@ -193,8 +198,6 @@ def random_walks(edges_by_id: DataFrame, walks: int = 10, steps: int = 20, seed:
     and meets that one edge by an equi-join, so a node with a billion edges
     spreads like any other. The walker carries the out-degree of its place.
     """
-    block = F.pmod(F.xxhash64("dst_id"), F.lit(64))
-    # Numbered in blocks by a digit of the target, then by the target.
     digit = F.floor(F.col("dst_id") / 4096)
     numbered = row_numbers(edges_by_id, ["src_id"], ["dst_id"], digit, "k", start=0)
     degree = edges_by_id.groupBy("src_id").agg(F.count("*").alias("degree"))

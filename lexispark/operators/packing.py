@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexispark.functions.draws import MODULUS, draw
 from lexispark.operators.vocab import BOS, EOS, MASK, PAD
 from lexispark.plans.blocked import running_sum
+from lexispark.plans.checkpoints import cut_lineage
 
 
 def pack_sequences(
@@ -20,11 +21,13 @@ def pack_sequences(
 ) -> DataFrame:
     """``shard, seq_no, input_ids``: the ids of each shard in document order, cut every ``length`` ids.
 
-    Documents get their offset by block-wise running sums; then every document
-    is sliced at the cuts, so the shuffle moves one row per document and cut
-    instead of one per token, and a group never holds more than ``length`` ids.
+    The encoded documents are stored once in the checkpoint folder. Documents get
+    their offset by block-wise running sums; then every document is sliced at the
+    cuts, so the shuffle moves one row per document and cut instead of one per
+    token, and a group never holds more than ``length`` ids.
     """
     sized = df.select(shard.alias("shard"), doc_id, ids, F.size(ids).cast("bigint").alias("n")).filter("n > 0")
+    sized = cut_lineage(sized)
     placed = running_sum(
         sized, ["shard"], [doc_id], F.floor(F.col(doc_id) / docs_per_block), F.col("n"), "off", inclusive=False
     )

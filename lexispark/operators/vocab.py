@@ -133,17 +133,20 @@ def lookup(
 
 
 def inverted_index(
-    tokens: DataFrame, doc_id: str, token: str, min_df: int = 5, docs_per_segment: int = 1 << 16
+    df: DataFrame, doc_id: str, tokens: str, min_df: int = 5, docs_per_segment: int = 1 << 16
 ) -> DataFrame:
     """``token, segment, doc_freq, docs``: sorted posting lists, cut into segments of the id range.
 
     A term found in every document would make one endless list; a segment holds
-    ``docs_per_segment`` ids at most.
+    ``docs_per_segment`` ids at most. Repeats inside a document go before the
+    shuffle, and each document row counts once per token.
     """
-    pairs = tokens.select(token, F.col(doc_id).alias("doc")).distinct()
-    segment = F.floor(F.col("doc") / docs_per_segment).alias("segment")
-    postings = pairs.groupBy(token, segment).agg(F.sort_array(F.collect_list("doc")).alias("docs"))
-    of_token = W.partitionBy(token)
+    postings = (
+        df.select(F.explode(F.array_distinct(tokens)).alias("token"), F.col(doc_id).alias("doc"))
+        .groupBy("token", F.floor(F.col("doc") / docs_per_segment).alias("segment"))
+        .agg(F.sort_array(F.collect_list("doc")).alias("docs"))
+    )
+    of_token = W.partitionBy("token")
     return postings.withColumn("doc_freq", F.sum(F.size("docs").cast("bigint")).over(of_token)).filter(
         F.col("doc_freq") >= min_df
     )
