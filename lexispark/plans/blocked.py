@@ -81,7 +81,7 @@ def _shifted(df, keys, order, picks, ahead):
         .groupBy(*keys, "__block")
         .agg(
             F.sort_array(
-                F.collect_list(F.struct((-F.col("__from_end")).alias("p"), *sources))
+                F.collect_list(F.struct((-F.col("__from_end")).alias("__at"), *sources))
             ).alias("__tail")
         )
     )
