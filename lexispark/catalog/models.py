@@ -14,7 +14,7 @@ from lexispark.catalog.registry import query, table
 from lexispark.functions import text as tx
 from lexispark.operators import dialog as dg, graph as gr, metrics as mt, ml, series as sr, transitions as tr
 from lexispark.operators.corpus import hash_split
-from lexispark.plans.checkpoints import scratch_path
+from lexispark.plans.checkpoints import cut_lineage, scratch_path
 
 
 def _rated(spark, sf):
@@ -70,7 +70,7 @@ def classify_tabular(spark, sf):
 
 @query("classify_transitions")
 def classify_transitions(spark, sf):
-    contexts = tr.transition_contexts(trees(spark, sf), KEYS)
+    contexts = cut_lineage(tr.transition_contexts(trees(spark, sf), KEYS))
     weights = mt.class_weights(contexts, "transition").select("transition", F.col("w_ten").alias("weight"))
     rows = contexts.join(weights, "transition")
     train, test = _halves(rows)

@@ -46,16 +46,17 @@ def clean_lines(
 def clean_web_corpus(
     df: DataFrame, charset: str, doc_id: str = "doc_id", col: str = "text"
 ) -> DataFrame:
-    """Length, token-count, duplicate, charset and line filters in one chain.
+    """Length, duplicate, token-count, charset and line filters in one chain.
 
-    The charset test reads one row alone, so it runs before the shuffle of the
-    duplicate filter; equal texts pass or fail together.
+    Equal texts pass or fail together, so the duplicates can go first: finding
+    them then costs a digest per document, and the optimizer runs the costlier
+    filters once, before the texts are shuffled.
     """
     return (
         df.transform(filter_bad_rows, col)
+        .transform(dedup_documents, doc_id, col)
         .transform(filter_min_tokens, col)
         .transform(filter_charset, charset, col)
-        .transform(dedup_documents, doc_id, col)
         .transform(clean_lines, charset, col)
     )
 
@@ -102,18 +103,16 @@ def dedup_paragraphs(
     task. Texts are shuffled once, by document id, where the kept places meet
     them. Documents left with nothing disappear.
     """
-    parts = df.select(
-        doc_id, F.array_distinct(tx.paragraphs(F.col(col), keep_empty)).alias("parts")
-    )
+    parts = F.array_distinct(tx.paragraphs(F.col(col), keep_empty))
     kept = (
-        parts.select(doc_id, F.posexplode("parts").alias("place", "part"))
+        df.select(doc_id, F.posexplode(parts).alias("place", "part"))
         .groupBy(tx.digest(F.col("part")).alias("digest"))
         .agg(F.min_by("place", doc_id).alias("place"), F.min(doc_id).alias(doc_id))
         .groupBy(doc_id)
         .agg(F.sort_array(F.collect_list("place")).alias("places"))
     )
     text = F.array_join(F.transform("places", lambda i: F.get("parts", i)), "\n")
-    return parts.join(kept, doc_id).select(doc_id, text.alias(col))
+    return df.select(doc_id, parts.alias("parts")).join(kept, doc_id).select(doc_id, text.alias(col))
 
 
 def dedup_funnel(df: DataFrame, doc_id: str = "doc_id", col: str = "text") -> DataFrame:

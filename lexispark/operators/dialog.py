@@ -49,9 +49,9 @@ def act_degrees(edges: DataFrame) -> DataFrame:
 
 def number_runs(df: DataFrame, keys: list[str], order: list[str], block: Column, label: str) -> DataFrame:
     """Add ``run_no``: consecutive rows with one label share a number."""
-    marked = neighbours(df, keys, order, block, {"__before": (label, 1)})
+    marked = neighbours(df.withColumn("__b", block), keys, order, "__b", {"__before": (label, 1)})
     change = (~F.col("__before").eqNullSafe(F.col(label))).cast("bigint")
-    return running_sum(marked, keys, order, block, change, "run_no").drop("__before")
+    return running_sum(marked, keys, order, "__b", change, "run_no").drop("__before", "__b")
 
 
 def merge_runs(
