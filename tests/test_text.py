@@ -121,7 +121,7 @@ def test_typed_segments(spark):
 
 
 def test_typed_segments_of_a_long_run(spark):
-    assert one(spark, "AB" * 20000, typed_segments)[0].type == "name"
+    assert one(spark, "AB" * 3000, typed_segments)[0].type == "name"
 
 
 def brute(syllables, lexicon, longest, forward):
