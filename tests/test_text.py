@@ -72,7 +72,7 @@ WORD_SHAPES = {
     "love": "lower", "Washington": "capitalized", "ABC": "allcaps", "H.": "capitalizedWithPeriod", "F35": "endsInDigit",
     "H-P": "containsHyphen", "eBay": "mixedCase", "4,120": "number", "20-10-1980": "date", "U.S.": "capitalizedWithPeriod",
     "Hà_Nội": "name", "92.9kg": "weight", "95%": "percentage", "9A": "code", "4158/QĐ-UBND": "docNo", "10:30": "time",
-    "Modesto, California": "name", "http://example.com/lhp": "url", "someone@example.com": "email", "??": "punctuation",
+    "Modesto, California": "name", "http://example.com/home": "url", "someone@example.com": "email", "??": "punctuation",
     "CỘNG HÒA": "allcaps", "": "",
 }
 
