@@ -10,7 +10,7 @@ import importlib
 
 from lexispark.llm.registry import ORACLES, QUERIES
 
-_MODULES = ["bpe_trie"]
+_MODULES = ["bpe_trie", "pu_quality", "toxicity"]
 
 for _name in _MODULES:
     importlib.import_module(f"lexispark.llm.{_name}")
