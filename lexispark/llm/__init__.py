@@ -10,7 +10,7 @@ import importlib
 
 from lexispark.llm.registry import ORACLES, QUERIES
 
-_MODULES = ["bpe_trie", "pu_quality", "toxicity", "token_store"]
+_MODULES = ["bpe_trie", "pu_quality", "toxicity", "token_store", "weak_quality"]
 
 for _name in _MODULES:
     importlib.import_module(f"lexispark.llm.{_name}")
