@@ -94,8 +94,9 @@ def _without(items: Column, at: Column) -> Column:
 def visible_lines(html: Column) -> Column:
     """Lines of a page: scripts, styles and comments go, tags end lines, blanks around lines and blank lines go."""
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
-    cut = F.regexp_replace(bare, r"<[^>]*>", "\n")
-    return F.regexp_replace(F.regexp_replace(cut, r"[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*", "\n"), r"^\n|\n$", "")
+    lines = F.split(F.regexp_replace(bare, r"<[^>]*>", "\n"), "\n")
+    trimmed = F.transform(lines, lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")))
+    return F.array_join(F.array_remove(trimmed, ""), "\n")
 
 
 def host_of(url: Column) -> Column:
