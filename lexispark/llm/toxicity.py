@@ -194,7 +194,9 @@ def fit(
     prior = F.lit(PRIOR_MASS / (n_t + n_o)) * (F.col("toxic") + F.col("other")) + F.lit(PRIOR_FLOOR)
     a, b = F.col("toxic") + prior, F.col("other") + prior
     all_a, all_b = (F.lit(x + PRIOR_MASS + PRIOR_FLOOR * n_w) for x in (n_t, n_o))
-    delta = F.log(a / (all_a - a)) - F.log(b / (all_b - b))
+    # A single token leaves nothing beside it.
+    rest = lambda total, own: F.greatest(total - own, F.lit(1e-9))
+    delta = F.log(a / rest(all_a, a)) - F.log(b / rest(all_b, b))
     telling = (
         counts.withColumn("delta", delta)
         .filter(F.col("delta") / F.sqrt(1 / a + 1 / b) >= LEAST_Z)
