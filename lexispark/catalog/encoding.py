@@ -23,11 +23,11 @@ _DOC_TOKENS = f"(SELECT doc_id, unnest({words_sql('lower(text)')}) AS token FROM
 _TERMS = f"""(
   SELECT token, doc_freq, term_freq, row_number() OVER (ORDER BY term_freq DESC, token) - 1 AS id FROM (
     SELECT token, count(DISTINCT doc_id) AS doc_freq, count(*) AS term_freq FROM {_DOC_TOKENS} GROUP BY token
-  ) WHERE doc_freq >= 2 ORDER BY term_freq DESC, token LIMIT 4096)"""
+  ) WHERE doc_freq >= 2)"""
 
 
 def terms(spark, sf):
-    return vocab.term_vocabulary(doc_tokens(spark, sf), "doc_id", "token", min_df=2, max_size=4096)
+    return vocab.term_vocabulary(doc_tokens(spark, sf), "doc_id", "token", min_df=2)
 
 
 @query("term_vocabulary", f"SELECT token, doc_freq, term_freq, id FROM {_TERMS}")
@@ -278,7 +278,7 @@ def flatten_pad(spark, sf):
 
 
 _CHOSEN = f"({draw_sql(17, 'shard', 'seq_no', 'i')}) < {int(0.15 * MODULUS)} AND id NOT IN (0, 2, 3)"
-_NORMAL = 20000 - 4
+_NORMAL = f"((SELECT count(*) FROM {_VOCAB}) - 4)"
 
 
 @query(
@@ -297,8 +297,11 @@ _NORMAL = 20000 - 4
     """,
 )
 def mlm_mask(spark, sf):
-    seqs = packing.pack_sequences(encoded(spark, sf), 128, F.pmod("doc_id", F.lit(4)), False)
-    out = packing.mask_tokens(seqs, ["shard", "seq_no"], vocab_size=20000)
+    pieces = cut_lineage(split_words(spark, sf))
+    entries = cut_lineage(vocab.piece_vocabulary(pieces))
+    ids = vocab.encode(docs(spark, sf), vocab.word_ids(pieces, entries))
+    seqs = packing.pack_sequences(ids, 128, F.pmod("doc_id", F.lit(4)), False)
+    out = packing.mask_tokens(seqs, ["shard", "seq_no"], vocab_size=entries.count())
     return out.select("shard", "seq_no", joined(F.col("masked_ids")).alias("masked_ids"), joined(F.col("labels")).alias("labels"))
 
 

@@ -190,8 +190,11 @@ _IDS = f"(SELECT node, row_number() OVER (ORDER BY md5(node), node) - 1 AS id FR
 @query(
     "graph_integer_ids",
     f"""
-    WITH ids AS MATERIALIZED (SELECT * FROM {_IDS})
-    SELECT a.id AS src_id, b.id AS dst_id FROM {_FLAT} f JOIN ids a ON a.node = f.src JOIN ids b ON b.node = f.dst
+    WITH t AS MATERIALIZED (SELECT * FROM {_TOKENS}),
+    e AS MATERIALIZED (SELECT DISTINCT head_node AS src, node AS dst FROM t WHERE head > 0),
+    ids AS MATERIALIZED (
+      SELECT node, row_number() OVER (ORDER BY md5(node), node) - 1 AS id FROM (SELECT DISTINCT node FROM t))
+    SELECT a.id AS src_id, b.id AS dst_id FROM e f JOIN ids a ON a.node = f.src JOIN ids b ON b.node = f.dst
     """,
 )
 def graph_integer_ids(spark, sf):
@@ -217,13 +220,15 @@ def merge_node_features(spark, sf):
     )
 
 
-def _walks_sql(steps: int) -> str:
+def _walks_sql(walks: int, steps: int) -> str:
     parts = [
-        f"ids AS MATERIALIZED (SELECT * FROM {_IDS})",
-        f"f AS MATERIALIZED (SELECT a.id AS src, b.id AS dst FROM {_FLAT} f JOIN ids a ON a.node = f.src JOIN ids b ON b.node = f.dst)",
+        f"t AS MATERIALIZED (SELECT * FROM {_TOKENS})",
+        "e AS MATERIALIZED (SELECT DISTINCT head_node AS src, node AS dst FROM t WHERE head > 0)",
+        "ids AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY md5(node), node) - 1 AS id FROM (SELECT DISTINCT node FROM t))",
+        "f AS MATERIALIZED (SELECT a.id AS src, b.id AS dst FROM e f JOIN ids a ON a.node = f.src JOIN ids b ON b.node = f.dst)",
         "deg AS MATERIALIZED (SELECT src, count(*) AS d FROM f GROUP BY src)",
         "h AS MATERIALIZED (SELECT f.src, dst, row_number() OVER (PARTITION BY f.src ORDER BY dst) - 1 AS k, coalesce(g.d, 0) AS nd FROM f LEFT JOIN deg g ON g.src = f.dst)",
-        "w0 AS MATERIALIZED (SELECT src AS walk_id, src AS node, d FROM deg)",
+        f"w0 AS MATERIALIZED (SELECT src * {walks} + k AS walk_id, src AS node, d FROM deg, range({walks}) AS r(k))",
     ]
     for s in range(1, steps):
         parts.append(
@@ -231,12 +236,16 @@ def _walks_sql(steps: int) -> str:
             f"AND h.k = ({draw_sql(3, 'walk_id', str(s))}) % greatest(w.d, 1))"
         )
     union = " UNION ALL ".join(f"SELECT walk_id, {s} AS step, node FROM w{s}" for s in range(steps))
-    return f"WITH {', '.join(parts)} {union}"
+    return f"""
+      WITH {', '.join(parts)}
+      SELECT walk_id, string_agg(CAST(node AS VARCHAR), ' ' ORDER BY step) AS path FROM ({union}) GROUP BY walk_id"""
 
 
-@query("random_walks", _walks_sql(5))
+@query("random_walks", _walks_sql(10, 20))
 def random_walks(spark, sf):
-    return gr.random_walks(gr.integer_graph(nodes(spark, sf), edges(spark, sf)), walks=1, steps=5)
+    steps = gr.random_walks(gr.integer_graph(nodes(spark, sf), edges(spark, sf)))
+    path = F.sort_array(F.collect_list(F.struct("step", "node")))["node"].cast("array<string>")
+    return steps.groupBy("walk_id").agg(F.array_join(path, " ").alias("path"))
 
 
 @query(

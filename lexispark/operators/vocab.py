@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexispark.functions import pieces as pc
 from lexispark.plans.blocked import row_numbers
@@ -12,40 +12,39 @@ from lexispark.plans.skew import salted_join
 # Special tokens, ids 0 to 4.
 SPECIALS = ["<pad>", "<unk>", "<s>", "</s>", "<mask>"]
 PAD, UNK, BOS, EOS, MASK = range(5)
-# A document holds fewer words than this, so that (document, word number) fits one bigint.
-_WORDS_PER_DOC = 1 << 24
 
 
 def term_vocabulary(
-    tokens: DataFrame, doc_id: str, token: str, min_df: int = 1, max_size: int = 1 << 18
+    tokens: DataFrame, doc_id: str, token: str, min_df: int = 1, max_size: int | None = None
 ) -> DataFrame:
-    """The most frequent terms: ``token, doc_freq, term_freq, id``; ties go by the term.
+    """The terms in order of frequency: ``token, doc_freq, term_freq, id``; ties go by the term.
 
     Counting goes through (term, document) pairs, so no distinct set is built
-    for a term that occurs everywhere. ``max_size`` is the vocabulary size.
+    for a term that occurs everywhere. Numbering goes by blocks of one frequency
+    and first letters. ``max_size`` keeps the most frequent terms only.
     """
-    top = (
+    found = (
         tokens.groupBy(token, doc_id)
         .agg(F.count("*").alias("tf"))
         .groupBy(token)
         .agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("term_freq"))
         .filter(F.col("doc_freq") >= min_df)
-        .orderBy(F.desc("term_freq"), token)
-        .limit(max_size)
+        .withColumn("__rarity", -F.col("term_freq"))
     )
-    ids = W.orderBy(F.desc("term_freq"), token)
-    return top.withColumn("id", (F.row_number().over(ids) - 1).cast("bigint"))
+    block = F.struct(F.col("__rarity"), F.substring(token, 1, 2))
+    numbered = row_numbers(found, [], ["__rarity", token], block, "id", start=0).drop("__rarity")
+    return numbered if max_size is None else numbered.filter(F.col("id") < max_size)
 
 
 def word_table(df: DataFrame, doc_id: str = "doc_id", col: str = "text") -> DataFrame:
-    """Distinct words with their count and first place (a bigint that orders by document and word number)."""
+    """Distinct words with their count and first place (document, word number)."""
     found = F.regexp_extract_all(F.col(col), F.lit(pc.WORD), F.lit(0))
     return (
         df.select(doc_id, F.posexplode(found).alias("word_no", "word"))
         .groupBy("word")
         .agg(
             F.count("*").alias("n"),
-            F.min(F.col(doc_id) * _WORDS_PER_DOC + F.col("word_no")).alias("first"),
+            F.min(F.struct(F.col(doc_id).alias("doc"), "word_no")).alias("first"),
         )
     )
 
@@ -70,13 +69,13 @@ def piece_vocabulary(pieces_of_words: DataFrame, docs_per_block: int = 1 << 16)
         .groupBy("token")
         .agg(
             F.sum("n").alias("frequency"),
-            F.min(F.struct((F.col("first") * 4 + F.col("p")).alias("at"), "language")).alias("f"),
+            F.min(F.struct("first.doc", "first.word_no", "p", "language")).alias("f"),
         )
-        .select("token", "frequency", F.col("f.at").alias("at"), F.col("f.language").alias("language"))
+        .select("token", "frequency", "f.doc", "f.word_no", "f.p", "f.language")
         .filter(~F.col("token").isin(SPECIALS))
     )
     numbered = row_numbers(
-        seen, [], ["at"], F.floor(F.col("at") / (4 * _WORDS_PER_DOC * docs_per_block)), "id", start=len(SPECIALS)
+        seen, [], ["doc", "word_no", "p"], F.floor(F.col("doc") / docs_per_block), "id", start=len(SPECIALS)
     )
     source = F.when(F.col("language") == "eng", "sub").otherwise(F.col("language"))
     specials = spark.createDataFrame(
@@ -106,19 +105,17 @@ def word_ids(pieces_of_words: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def encode(df: DataFrame, ids_of_words: DataFrame, doc_id: str = "doc_id", col: str = "text") -> DataFrame:
-    """``doc_id, ids``: documents as piece ids; only words meet the table, with hot words spread."""
+    """``doc_id, ids``: documents as piece ids; only words meet the table, with hot words spread.
+
+    A document without words, also one without text, has no ids.
+    """
     found = F.regexp_extract_all(F.col(col), F.lit(pc.WORD), F.lit(0))
-    rows = df.select(doc_id, F.posexplode(found).alias("word_no", "word"))
+    rows = df.select(doc_id, F.posexplode_outer(found).alias("word_no", "word"))
+    known = F.struct("word_no", F.coalesce("ids", F.array(F.lit(UNK).cast("bigint"))).alias("ids"))
     return (
         salted_join(rows, ids_of_words, "word", [doc_id, "word_no"], "left")
         .groupBy(doc_id)
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct("word_no", F.coalesce("ids", F.array(F.lit(UNK).cast("bigint"))).alias("ids"))
-                )
-            ).alias("x")
-        )
+        .agg(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), known))).alias("x"))
         .select(doc_id, F.flatten(F.col("x.ids")).alias("ids"))
     )
 
@@ -139,23 +136,22 @@ def inverted_index(
 
     A term found in every document would make one endless list; a segment holds
     ``docs_per_segment`` ids at most. Repeats inside a document go before the
-    shuffle, and each document row counts once per token.
+    shuffle, and each document row counts once per token. Frequencies are counted
+    apart, added up before their shuffle, and meet the segments salted, so the
+    segments of a token never meet in one task.
     """
-    postings = (
-        df.select(F.explode(F.array_distinct(tokens)).alias("token"), F.col(doc_id).alias("doc"))
-        .groupBy("token", F.floor(F.col("doc") / docs_per_segment).alias("segment"))
-        .agg(F.sort_array(F.collect_list("doc")).alias("docs"))
-    )
-    of_token = W.partitionBy("token")
-    return postings.withColumn("doc_freq", F.sum(F.size("docs").cast("bigint")).over(of_token)).filter(
-        F.col("doc_freq") >= min_df
+    single = df.select(F.explode(F.array_distinct(tokens)).alias("token"), F.col(doc_id).alias("doc"))
+    frequent = single.groupBy("token").agg(F.count("*").alias("doc_freq")).filter(F.col("doc_freq") >= min_df)
+    postings = single.groupBy("token", F.floor(F.col("doc") / docs_per_segment).alias("segment")).agg(
+        F.sort_array(F.collect_list("doc")).alias("docs")
     )
+    return salted_join(postings, frequent, "token", ["segment"])
 
 
 def semi_join_vocabulary(vectors: DataFrame, vocab: DataFrame, key: str, token: str, prefix: int = 0) -> DataFrame:
-    """Rows of a keyed table whose key (without a fixed-length prefix) is a vocabulary token."""
+    """Rows of a keyed table whose key (without a fixed-length prefix) is a token of ``vocab``; its repeats go first."""
     word = F.expr(f"substring({key}, {prefix + 1})")
-    return vectors.withColumn(token, word).join(vocab.select(token), token, "left_semi")
+    return vectors.withColumn(token, word).join(vocab.select(token).distinct(), token, "left_semi")
 
 
 def learn_merges(words: DataFrame, merges: int, min_frequency: int = 5, checkpoint_every: int = 5) -> list[tuple[str, str, int]]:

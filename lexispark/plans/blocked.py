@@ -3,7 +3,7 @@
 A plain ``Window.partitionBy(key)`` puts one key into one task. Here each key
 is cut into blocks of its own ordering (``block`` must never decrease along
 ``order``); the window runs inside a block, and a table with one row per block
-carries the state across. Key columns must not be null.
+carries the state across. A null key is a key like any other.
 
 ``block`` is a column expression, or the name of a column to use and keep: two
 steps that name the same one share its layout, so the rows are shuffled once.
@@ -11,6 +11,9 @@ steps that name the same one share its layout, so the rows are shuffled once.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -37,12 +40,15 @@ def running_sum(
     total = F.col("__base") + F.col("__within")
     if not inclusive:
         total = total - F.col("__value")
-    return (
-        work.withColumn("__within", F.sum("__value").over(within))
-        .join(bases, [*keys, b])
-        .withColumn(name, total)
-        .drop(*spare, "__value", "__within", "__base")
-    )
+    out = work.withColumn("__within", F.sum("__value").over(within))
+    return _joined(out, bases, [*keys, b]).withColumn(name, total).drop(*spare, "__value", "__within", "__base")
+
+
+def _joined(rows: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with the table of blocks in which null equals null."""
+    other = blocks.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+    return rows.join(other, same).drop(*[f"__of_{k}" for k in keys])
 
 
 def _with_block(df: DataFrame, block: Column | str) -> tuple[DataFrame, str, list[str]]:
@@ -103,7 +109,7 @@ def _shifted(df, keys, order, b, picks, ahead):
     out = df.withColumn("__rn", F.row_number().over(local))
     for name, (source, k) in picks.items():
         out = out.withColumn(f"__in_{name}", F.lag(source, k).over(local))
-    out = out.join(carried, [*keys, b])
+    out = _joined(out, carried, [*keys, b])
     for name, (source, k) in picks.items():
         index = F.size("__carried") - 1 - (F.lit(k) - F.col("__rn"))
         out = out.withColumn(

@@ -46,3 +46,20 @@ def test_salted_join_equals_plain_join(rows, spark):
     got = salted_join(rows, dim, "k", ["p"], "left").select("k", "p", "d").collect()
     want = rows.join(dim, "k", "left").select("k", "p", "d").collect()
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_null_keys_stay(spark):
+    data = [(k, p, p % 5) for k in ("a", None) for p in range(40)]
+    rows = spark.createDataFrame(data, "k string, p int, v int")
+    block = F.floor(F.col("p") / 7)
+    got = running_sum(rows, ["k"], ["p"], block, F.col("v"), "total")
+    got = neighbours(got, ["k"], ["p"], block, {"before": ("v", 2), "after": ("v", -1)})
+    w = W.partitionBy("k").orderBy("p")
+    want = rows.select(
+        "*",
+        F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("total"),
+        F.lag("v", 2).over(w).alias("before"),
+        F.lead("v", 1).over(w).alias("after"),
+    )
+    key = lambda x: sorted(map(tuple, x.select(*want.columns).collect()), key=str)
+    assert key(got) == key(want)
