@@ -14,11 +14,13 @@ they differ in at most (r + s) / 19 elements.
   corpus.
 * **Boundary**: the size with the fewest keys over the histogram of sizes. Sets
   just below it have keys of both kinds, so no link crosses it unseen.
-* **Groups of a key** are never paired out. Every member is compared with the
-  smallest member, the pivot. Two members of which one isn't linked to the pivot
-  can only link if they differ from the pivot in common elements; these
-  differences are short and, unlike the sets, have little in common, so a
-  prefix join over them finds the pairs that are left. Each is checked in full.
+* **Groups of a key** are never paired out. Every member is compared with one
+  member, the pivot: the one that meets most others over all of its keys, as a
+  rule the text that the others were copied from. Two members of which one isn't
+  linked to the pivot can only link if they differ from the pivot in common
+  elements. These differences are short, and the elements that few members of
+  the group differ in come first, so a prefix join over them finds the pairs
+  that are left. Each is checked in full.
 """
 
 from __future__ import annotations
@@ -250,8 +252,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def _links(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
     """Links (x, y) between classes that connect all that links connect."""
-    shared = keys.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("last")).filter("p <> last")
-    stars = keys.join(shared.select("key", "p"), "key").filter("c <> p").select("c", "p").distinct()
+    shared = keys.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+    members = cut_lineage(keys.join(shared.select("key"), "key").distinct())
+    met = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key")
+    weights = met.groupBy("c").agg(F.sum("size").alias("weight"))
+    pivots = (
+        members.join(weights, "c")
+        .groupBy("key")
+        .agg(F.max(F.struct("weight", "c")).alias("best"))
+        .select("key", F.col("best.c").alias("p"))
+    )
+    stars = members.join(pivots, "key").filter("c <> p").select("c", "p").distinct()
     # Half digests find candidates; from here on classes are named by their smallest document.
     named = classes.select(_half(F.col("digest")).alias("c"), "node")
     edges = cut_lineage(
@@ -272,11 +283,11 @@ def _links(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
             "x", F.col("y").alias("pivot"), F.col("n_x").alias("n"), F.col("n_y").alias("n_pivot"),
             F.array_except("tokens_x", "tokens_y").alias("added"),
             F.array_except("tokens_y", "tokens_x").alias("removed"),
+        ).select(
+            "x", "pivot", "n",
+            _linked(F.col("n"), F.col("n_pivot"), F.col("n") - F.size("added")).alias("linked"),
+            F.concat("added", "removed").alias("differ"),
         )
-        .withColumn("linked", _linked(F.col("n"), F.col("n_pivot"), F.col("n") - F.size("added")))
-        .withColumn("differ", F.size("added") + F.size("removed"))
-        .withColumn("short", _prefix())
-        .drop("added", "removed")
     )
     first = compared.filter("linked").select("x", F.col("pivot").alias("y"))
     pairs = _pairs_beside_pivots(compared)
@@ -295,21 +306,30 @@ def _half(digest: Column) -> Column:
     return F.conv(swapped, 16, -10).cast("long")
 
 
-def _prefix() -> Column:
-    """The part of the difference from the pivot that two links beside the pivot must meet in.
+def _pairs_beside_pivots(compared: DataFrame) -> DataFrame:
+    """Pairs (x, y) with a common pivot that can link though one of them isn't linked to the pivot.
 
-    What was added comes first: it is rarer than what is missing. A partner
-    differs from this set in ``most`` elements at most, so all but ``most`` of
-    this difference are common.
+    Of a difference, all but ``most`` elements are common with that of a partner,
+    so both hold a common one among their first ``most`` + 1, rare ones first.
     """
-    ordered = F.concat(F.sort_array("added"), F.sort_array("removed"))
+    open_pivots = compared.filter("NOT linked").select("pivot").distinct()
+    told = compared.join(open_pivots, "pivot", "left_semi").withColumn("size", F.size("differ"))
+    single = told.select("pivot", "x", "n", "linked", "size", F.explode("differ").alias("token"))
+    counts = single.groupBy("pivot", "token").agg(F.count("*").alias("members")).filter("members > 1")
+    common = (
+        single.join(counts, ["pivot", "token"])
+        .groupBy("pivot", "x", "n", "linked", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("members", "token"))).alias("common"))
+    )
     most = _allowed(F.col("n"), F.floor(F.col("n") * 10 / 9))
-    return F.slice(ordered, 1, F.least(most + 1, F.col("differ")).cast("int"))
-
-
-def _pairs_beside_pivots(compared: DataFrame) -> DataFrame:
-    """Pairs (x, y) with a common pivot that can link though one of them isn't linked to the pivot."""
-    rows = compared.select("pivot", "x", "n", "linked", "differ", F.posexplode("short").alias("at", "token"))
+    # Elements that no other member differs in come before all others.
+    place = F.col("size") - F.size("common") + F.col("i")
+    rows = (
+        common.select("pivot", "x", "n", "linked", "size", "common", F.posexplode("common").alias("i", "e"))
+        .withColumn("at", place)
+        .filter(F.col("at") <= most)
+        .select("pivot", "x", "n", "linked", F.col("size").alias("differ"), "at", F.col("e.token").alias("token"))
+    )
     a = rows.select("pivot", "token", *[F.col(c).alias(f"{c}_a") for c in ("x", "n", "linked", "differ", "at")])
     b = rows.select("pivot", "token", *[F.col(c).alias(f"{c}_b") for c in ("x", "n", "linked", "differ", "at")])
     needed = (F.col("differ_a") + F.col("differ_b") - _allowed(F.col("n_a"), F.col("n_b"))) / 2
