@@ -137,7 +137,8 @@ def indegree_centrality(spark, sf):
     return gr.in_degree(ns, edges(spark, sf), ns.count()).withColumn("centrality", F.round("centrality", 10))
 
 
-_ROUNDS = 8
+# Rounds that the oracles unroll; both iterations stop long before.
+_ROUNDS = 40
 _GRAPH_CTES = f"""
     t AS MATERIALIZED (SELECT * FROM {_TOKENS}),
     e AS MATERIALIZED (SELECT DISTINCT head_node AS src, node AS dst FROM t WHERE head > 0),
@@ -146,6 +147,19 @@ _GRAPH_CTES = f"""
     c AS MATERIALIZED (SELECT count(*) AS n FROM v)"""
 
 
+def _stopped(steps: list[str], value: str) -> str:
+    """The state of the first round that moved less than a millionth per node."""
+    moved = " UNION ALL ".join(
+        f"SELECT {k} AS k, (SELECT sum(abs(a.x - b.x)) FROM r{k} a JOIN r{k - 1} b USING (node)) AS moved"
+        for k in range(1, _ROUNDS + 1)
+    )
+    states = " UNION ALL ".join(f"SELECT {k} AS k, node, x FROM r{k}" for k in range(1, _ROUNDS + 1))
+    return f"""
+      WITH {_GRAPH_CTES}, {', '.join(steps)},
+      moves AS MATERIALIZED ({moved}), stop AS MATERIALIZED (SELECT min(k) AS k FROM moves, c WHERE moved < n * 1e-6)
+      SELECT node, {value} FROM ({states}), c WHERE k = (SELECT k FROM stop)"""
+
+
 def _pagerank_sql() -> str:
     steps = ["r0 AS MATERIALIZED (SELECT node, o, 1.0::DOUBLE / n AS x FROM v, c)"]
     for k in range(1, _ROUNDS + 1):
@@ -155,15 +169,14 @@ def _pagerank_sql() -> str:
         steps.append(
             f"r{k} AS MATERIALIZED (SELECT node, o, coalesce(m, 0) * 0.85::DOUBLE + (1 - 0.85::DOUBLE * (SELECT sum(m) FROM m{k})) / n AS x FROM r{k - 1} LEFT JOIN m{k} USING (node), c)"
         )
-    return f"WITH {_GRAPH_CTES}, {', '.join(steps)} SELECT node, round(x * n, 6) AS rank FROM r{_ROUNDS}, c"
+    return _stopped(steps, "round(x * n, 6) AS rank")
 
 
 @query("pagerank", _pagerank_sql())
 def pagerank(spark, sf):
     parsed = cut_lineage(trees(spark, sf))
-    names = gr.corpus_nodes(parsed, KEYS)
-    out = gr.pagerank(names, gr.corpus_edges(parsed), iterations=_ROUNDS, tolerance=None)
-    return out.select("node", F.round(F.col("rank") * out.count(), 6).alias("rank"))
+    out = gr.pagerank(gr.corpus_nodes(parsed, KEYS), gr.corpus_edges(parsed), scaled=True)
+    return out.select("node", F.round("rank", 6).alias("rank"))
 
 
 def _eigenvector_sql() -> str:
@@ -174,13 +187,13 @@ def _eigenvector_sql() -> str:
             f"(SELECT dst AS node, sum(x) AS m FROM e JOIN r{k - 1} ON src = node GROUP BY dst) USING (node))"
         )
         steps.append(f"r{k} AS MATERIALIZED (SELECT node, y / sqrt((SELECT sum(y * y) FROM y{k})) AS x FROM y{k})")
-    return f"WITH {_GRAPH_CTES}, {', '.join(steps)} SELECT node, round(x, 8) AS centrality FROM r{_ROUNDS}"
+    return _stopped(steps, "round(x, 8) AS centrality")
 
 
 @query("eigenvector_centrality", _eigenvector_sql())
 def eigenvector_centrality(spark, sf):
     parsed = cut_lineage(trees(spark, sf))
-    out = gr.eigenvector_centrality(gr.corpus_nodes(parsed, KEYS), gr.corpus_edges(parsed), iterations=_ROUNDS, tolerance=None)
+    out = gr.eigenvector_centrality(gr.corpus_nodes(parsed, KEYS), gr.corpus_edges(parsed))
     return out.withColumn("centrality", F.round("centrality", 8))
 
 

@@ -110,11 +110,17 @@ def _received(edges: DataFrame, state: DataFrame, message: Column) -> DataFrame:
 
 
 def pagerank(
-    nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6
+    nodes: DataFrame,
+    edges: DataFrame,
+    iterations: int = 100,
+    damping: float = 0.85,
+    tolerance: float | None = 1e-6,
+    scaled: bool = False,
 ) -> DataFrame:
     """``node, rank``; the rank of nodes without out-edges spreads evenly.
 
-    Ranks sum to 1, so the even share follows from the sum of the messages: one
+    Rounds end when ranks move by less than ``tolerance`` per node in all. Ranks
+    sum to 1, or to the number of nodes if ``scaled``. So the even share follows from the sum of the messages: one
     number per round comes to the driver.
     """
     names, state, flat = _laid_out(nodes, edges)
@@ -134,7 +140,7 @@ def pagerank(
             if moved < n * tolerance:
                 break
         state = state.drop("old")
-    return names.join(state, "id").select("node", "rank")
+    return names.join(state, "id").select("node", (F.col("rank") * n if scaled else F.col("rank")).alias("rank"))
 
 
 def eigenvector_centrality(
