@@ -256,9 +256,17 @@ def ids_to_labels(spark, sf):
     )
 
 
-@query("hash_buckets")
+@query(
+    "hash_buckets",
+    f"""
+    SELECT conv_id, turn, array_to_string((list_transform({words_sql('lower(text)')},
+             lambda w: CAST(('0x' || md5(w)[1:4]) AS BIGINT)) || list_transform(range(20), lambda x: -1))[1:20], ' ') AS ids
+    FROM conversations
+    """,
+)
 def hash_buckets(spark, sf):
-    bucket = F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 16)))
+    # The first 16 bits of a digest: below 2^16, and the same in every engine.
+    bucket = F.transform("words", lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("bigint"))
     return talk(spark, sf).select("conv_id", "turn", joined(packing.pad_right(bucket, 20, -1)).alias("ids"))
 
 
@@ -318,6 +326,22 @@ def vocab_semi_join(spark, sf):
     return vocab.semi_join_vocabulary(keyed, doc_tokens(spark, sf), "key", "token", prefix=6).select("key")
 
 
+_KEPT = f"({draw_sql(5, 'conv_id', 'turn', 'i')}) <= {int(0.3 * MODULUS)}"
+
+
+@query(
+    "mask_labels",
+    f"""
+    SELECT conv_id, turn, string_agg(CAST(CASE WHEN {_KEPT} THEN id ELSE -1 END AS VARCHAR), ' ' ORDER BY i) AS labels
+    FROM (SELECT conv_id, turn, i - 1 AS i, CAST(id AS BIGINT) AS id FROM {numbered('ids', 'conv_id, turn', talk_ids_sql(0), 'id')})
+    GROUP BY conv_id, turn
+    """,
+)
+def mask_labels(spark, sf):
+    kept = packing.keep_labels(F.col("ids"), [F.col("conv_id"), F.col("turn")], 0.3)
+    return talk_ids(spark, sf, 0).select("conv_id", "turn", joined(kept).alias("labels"))
+
+
 @query("bpe_merges")
 def bpe_merges(spark, sf):
     counts = tk.word_counts(docs(spark, sf), tx.words(F.lower("text")))

@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from lexispark.catalog.dialogue import acts, edges as act_edges
+from lexispark.catalog.dialogue import acts
 from lexispark.catalog.graphs import KEYS, trees
 from lexispark.catalog.numeric import daily, vectors
 from lexispark.catalog.registry import query, table
@@ -37,21 +37,21 @@ def _halves(df, key="doc_id"):
 def classify_text(spark, sf):
     rows = _rated(spark, sf).withColumn("label", F.col("quality").cast("string"))
     train, test = _halves(rows)
-    scored = ml.text_classifier("text", "label", 4096).fit(train).transform(test)
+    scored = ml.text_classifier("text", "label").fit(train).transform(test)
     return scored.select("doc_id", "quality", "prediction")
 
 
 @query("classify_language")
 def classify_language(spark, sf):
     train, test = _halves(table(spark, sf, "documents").select("doc_id", "text", "lang"))
-    scored = ml.text_classifier("text", "lang", 4096).fit(train).transform(test)
+    scored = ml.text_classifier("text", "lang").fit(train).transform(test)
     return scored.select("doc_id", "lang", "target", "prediction")
 
 
 @query("classify_mlp")
 def classify_mlp(spark, sf):
     train, test = _halves(table(spark, sf, "documents").select("doc_id", "text", "lang"))
-    scored = ml.mlp_classifier("text", "lang", classes=4).fit(train).transform(test)
+    scored = ml.mlp_classifier(train, "text", "lang").fit(train).transform(test)
     return scored.select("doc_id", "lang", "target", "prediction")
 
 
@@ -62,8 +62,7 @@ def classify_tabular(spark, sf):
         (F.col("c_acctbal") > 4500).cast("double").alias("y"),
     )
     train, test = _halves(rows, "c_custkey")
-    segments, nations = 5 + 1, 25 + 1
-    model = ml.tabular_classifier(["c_mktsegment", "nation"], ["c_acctbal"], "y", width=segments + nations + 1)
+    model = ml.tabular_classifier(train, ["c_mktsegment", "nation"], ["c_acctbal"], "y")
     scored = model.fit(train).transform(test)
     return _score_row(spark, "tabular", test.count(), auc=ml.binary_auc(scored, "y"))
 
@@ -74,7 +73,7 @@ def classify_transitions(spark, sf):
     weights = mt.class_weights(contexts, "transition").select("transition", F.col("w_ten").alias("weight"))
     rows = contexts.join(weights, "transition")
     train, test = _halves(rows)
-    model = ml.text_classifier("features_text", "transition", 2048, max_iter=5, weight="weight")
+    model = ml.text_classifier("features_text", "transition", width=1 << 14, weight="weight", delimiter=r"\s+")
     named = lambda df: df.withColumnRenamed("features", "features_text")
     scored = model.fit(named(train)).transform(named(test))
     counts = scored.groupBy("transition", "target", "prediction").agg(F.count("*").alias("n"))
@@ -112,16 +111,17 @@ def regress_embeddings(spark, sf):
 
 @query("classify_and_vote")
 def classify_and_vote(spark, sf):
-    rows = acts(spark, sf).select("conv_id", "turn", "text", "role").filter("role <> 'system'")
-    model = ml.text_classifier("text", "role", 2048, max_iter=10).fit(rows)
-    scored = model.transform(rows).select("conv_id", F.col("prediction").cast("int").alias("vote"))
+    train, test = _halves(acts(spark, sf).select("conv_id", "turn", "text", "role"), "conv_id")
+    scored = ml.text_classifier("text", "role").fit(train).transform(test)
+    scored = scored.select("conv_id", F.col("prediction").cast("int").alias("vote"))
     return dg.majority_vote(scored, "conv_id", "vote")
 
 
 @query("classify_multilabel")
 def classify_multilabel(spark, sf):
     rows = _rated(spark, sf).select("doc_id", "text", "quality", "toxic")
-    out = ml.multilabel(rows, "text", ["quality", "toxic"])
+    train, test = _halves(rows)
+    out = ml.multilabel(train, "text", ["quality", "toxic"], test)
     return out.select("doc_id", "quality", "toxic", "quality_pred", "toxic_pred")
 
 
@@ -140,8 +140,8 @@ def forecast_horizons(spark, sf):
 @query("grid_search")
 def grid_search(spark, sf):
     rows = table(spark, sf, "documents").select("text", "lang")
-    ready = Pipeline(stages=[ml.indexed("lang"), *ml.text_features("text", 1024)]).fit(rows).transform(rows).select("target", "features").cache()
-    model = Pipeline(stages=[ml.LogisticRegression(labelCol="target", maxIter=5)])
+    ready = Pipeline(stages=[ml.indexed("lang"), *ml.text_features("text", 1 << 10)]).fit(rows).transform(rows).select("target", "features").cache()
+    model = Pipeline(stages=[ml.LogisticRegression(labelCol="target")])
     results = ml.grid_search(ready, model, {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5]})
     return spark.createDataFrame(
         [(r["regParam"], r["elasticNetParam"], float(r["accuracy"])) for r in results], "reg double, elastic double, accuracy double"
@@ -151,7 +151,7 @@ def grid_search(spark, sf):
 @query("preprocessor_roundtrip")
 def preprocessor_roundtrip(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    fitted = Pipeline(stages=[ml.indexed("lang"), *ml.text_features("text", 1024)]).fit(rows)
+    fitted = Pipeline(stages=[ml.indexed("lang"), *ml.text_features("text")]).fit(rows)
     loaded = ml.save_and_load(fitted, scratch_path(spark, "preprocessor"))
     before = fitted.transform(rows).select("doc_id", F.col("features").alias("a"))
     after = loaded.transform(rows).select("doc_id", "target", F.col("features").alias("b"))
@@ -173,10 +173,9 @@ def silhouette(spark, sf):
 
 @query("node_embeddings")
 def node_embeddings(spark, sf):
-    graph = act_edges(spark, sf)
-    names = graph.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    walks = gr.random_walks(gr.integer_graph(names, graph), walks=10, steps=20)
+    parsed = cut_lineage(trees(spark, sf))
+    walks = gr.random_walks(gr.integer_graph(gr.corpus_nodes(parsed, KEYS), gr.corpus_edges(parsed)))
     paths = walks.groupBy("walk_id").agg(F.array_sort(F.collect_list(F.struct("step", "node"))).alias("p"))
     tokens = paths.select(F.col("p.node").cast("array<string>").alias("tokens"))
     vectors_of = ml.word_embeddings(tokens, "tokens", size=32, min_count=1)
-    return vectors_of.select(F.col("word").cast("bigint").alias("node"), F.posexplode("vector").alias("position", "value"))
+    return vectors_of.select(F.col("word").cast("bigint").alias("node"), "vector")

@@ -189,6 +189,20 @@ def vectors(spark, sf):
 _V = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
 
 
+@query(
+    "normalize_vectors",
+    f"""
+    SELECT vec_id, array_to_string(list_transform(v, lambda x:
+             CAST(CAST(round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))) * 1000000) AS BIGINT) AS VARCHAR)), ' ') AS unit
+    FROM {_V}
+    """,
+)
+def normalize_vectors(spark, sf):
+    unit = F.transform(vc.l2_normalized(F.col("v")), lambda x: F.round(x * 1000000).cast("bigint").cast("string"))
+    return vectors(spark, sf).select("vec_id", F.array_join(unit, " ").alias("unit"))
+
+
+
 def _query_vector(spark, sf):
     """The vector asked for: the first of the table."""
     return vectors(spark, sf).orderBy("vec_id").select("v").first()["v"]

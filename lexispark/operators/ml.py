@@ -32,11 +32,19 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 
-def text_features(text: str, vocab_size: int, min_df: int = 2, delimiter: str = r"[\s.,;:!?]+") -> list:
+#: Width of hashed token counts: no token is left out, rare ones may share a place, nothing is kept on the driver.
+HASH_WIDTH = 1 << 16
+
+
+#: Between words.
+BLANKS_AND_MARKS = r"[\s.,;:!?]+"
+
+
+def text_features(text: str, width: int = HASH_WIDTH, min_df: int = 2, delimiter: str = BLANKS_AND_MARKS) -> list:
     return [
         RegexTokenizer(inputCol=text, outputCol="tokens", pattern=delimiter),
-        CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=vocab_size, minDF=min_df),
-        IDF(inputCol="counts", outputCol="features"),
+        HashingTF(inputCol="tokens", outputCol="counts", numFeatures=width),
+        IDF(inputCol="counts", outputCol="features", minDocFreq=min_df),
     ]
 
 
@@ -44,19 +52,24 @@ def indexed(label: str) -> StringIndexer:
     return StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc", handleInvalid="skip")
 
 
-def text_classifier(text: str, label: str, vocab_size: int = 1 << 14, max_iter: int = 20, weight: str | None = None) -> Pipeline:
+def text_classifier(
+    text: str, label: str, width: int = HASH_WIDTH, max_iter: int = 100, weight: str | None = None,
+    delimiter: str = BLANKS_AND_MARKS,
+) -> Pipeline:
     """Counts with inverse document frequency into a (multinomial, optionally weighted) logistic regression."""
     model = LogisticRegression(labelCol="target", maxIter=max_iter, regParam=0.01)
     if weight:
         model.setWeightCol(weight)
-    return Pipeline(stages=[indexed(label), *text_features(text, vocab_size), model])
+    return Pipeline(stages=[indexed(label), *text_features(text, width, delimiter=delimiter), model])
 
 
-def mlp_classifier(text: str, label: str, classes: int, vocab_size: int = 512, hidden: int = 16, max_iter: int = 20) -> Pipeline:
-    """A perceptron over averaged word vectors."""
+def mlp_classifier(df: DataFrame, text: str, label: str, hidden: int = 16, max_iter: int = 100) -> Pipeline:
+    """A perceptron over averaged word vectors with one output per label of ``df``."""
+    labels = indexed(label).fit(df)
+    classes = len(labels.labels)
     return Pipeline(
         stages=[
-            indexed(label),
+            labels,
             RegexTokenizer(inputCol=text, outputCol="tokens", pattern=r"[\s.,;:!?]+"),
             Word2Vec(inputCol="tokens", outputCol="features", vectorSize=32, minCount=5, maxIter=1, seed=1),
             MultilayerPerceptronClassifier(labelCol="target", layers=[32, hidden, classes], maxIter=max_iter, seed=1),
@@ -64,11 +77,14 @@ def mlp_classifier(text: str, label: str, classes: int, vocab_size: int = 512, h
     )
 
 
-def tabular_classifier(categories: list[str], numbers: list[str], label: str, width: int, max_iter: int = 30) -> Pipeline:
-    """Index, one-hot, assemble, scale; a perceptron with two outputs."""
+def tabular_classifier(
+    df: DataFrame, categories: list[str], numbers: list[str], label: str, max_iter: int = 100
+) -> Pipeline:
+    """Index, one-hot, assemble, scale; a perceptron with two outputs. Categories are those of ``df`` and "other"."""
     index = StringIndexer(
         inputCols=categories, outputCols=[f"{c}_i" for c in categories], stringOrderType="alphabetAsc", handleInvalid="keep"
-    )
+    ).fit(df)
+    width = sum(len(values) + 1 for values in index.labelsArray) + len(numbers)
     onehot = OneHotEncoder(inputCols=[f"{c}_i" for c in categories], outputCols=[f"{c}_v" for c in categories], dropLast=False)
     assemble = VectorAssembler(inputCols=[*[f"{c}_v" for c in categories], *numbers], outputCol="raw", handleInvalid="skip")
     scale = StandardScaler(inputCol="raw", outputCol="features")
@@ -86,10 +102,10 @@ def binary_auc(predictions: DataFrame, label: str, raw: str = "rawPrediction") -
     return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=raw).evaluate(predictions)
 
 
-def multilabel(df: DataFrame, text: str, labels: list[str], vocab_size: int = 4096, max_iter: int = 10) -> DataFrame:
-    """One logistic regression per label on shared features; adds ``<label>_pred``."""
-    features = Pipeline(stages=text_features(text, vocab_size)).fit(df).transform(df)
-    out = features
+def multilabel(df: DataFrame, text: str, labels: list[str], test: DataFrame, width: int = HASH_WIDTH, max_iter: int = 100) -> DataFrame:
+    """One logistic regression per label on shared features of ``df``; adds ``<label>_pred`` to the rows of ``test``."""
+    prepare = Pipeline(stages=text_features(text, width)).fit(df)
+    features, out = prepare.transform(df), prepare.transform(test)
     for label in labels:
         model = LogisticRegression(
             labelCol=label, maxIter=max_iter, regParam=0.01, predictionCol=f"{label}_pred",
@@ -99,12 +115,12 @@ def multilabel(df: DataFrame, text: str, labels: list[str], vocab_size: int = 40
     return out.drop("features", "counts", "tokens")
 
 
-def topic_model(df: DataFrame, doc_id: str, text: str, topics: int, vocab_size: int = 2000, max_iter: int = 5):
+def topic_model(df: DataFrame, doc_id: str, text: str, topics: int, max_iter: int = 20):
     """``(terms, mixture, log_likelihood)``: top terms per topic and the topic shares of every document."""
     prepare = Pipeline(
         stages=[
             RegexTokenizer(inputCol=text, outputCol="tokens", pattern=r"[\s.,;:!?]+", minTokenLength=3),
-            CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocab_size, minDF=2),
+            CountVectorizer(inputCol="tokens", outputCol="features", minDF=2),
         ]
     ).fit(df)
     rows = prepare.transform(df).select(doc_id, "features").cache()
@@ -134,9 +150,9 @@ def regressors(features: str, label: str, hashed: bool = False, components: int
     else:
         prepare = [PCA(k=components, inputCol=features, outputCol="z")]
     models = {
-        "forest": RandomForestRegressor(featuresCol="z", labelCol=label, numTrees=10, maxDepth=5, seed=1),
-        "boosted": GBTRegressor(featuresCol="z", labelCol=label, maxIter=5, maxDepth=3, seed=1),
-        "linear": LinearRegression(featuresCol="z", labelCol=label, maxIter=20, regParam=0.01),
+        "forest": RandomForestRegressor(featuresCol="z", labelCol=label, numTrees=128, maxDepth=5, seed=1),
+        "boosted": GBTRegressor(featuresCol="z", labelCol=label, maxIter=20, maxDepth=3, seed=1),
+        "linear": LinearRegression(featuresCol="z", labelCol=label, maxIter=100, regParam=0.01),
     }
     return {name: Pipeline(stages=[*prepare, model]) for name, model in models.items()}
 

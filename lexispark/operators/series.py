@@ -63,14 +63,19 @@ def extreme_by_rank(df: DataFrame, series: str, value: str, share: float = 0.9,
     """Add ``pct_rank`` (average rank of ties over the count) and ``extreme``.
 
     Ranks come from the histogram of values, so rows of one series are never sorted together.
+    A null value has no rank; a null series is one series.
     """
-    counts = df.groupBy(series, value).agg(F.count("*").alias("c"))
+    known = df.filter(F.col(value).isNotNull())
+    counts = known.groupBy(series, value).agg(F.count("*").alias("c"))
     below = running_sum(counts, [series], [value], F.floor(F.col(value) / bucket), F.col("c"), "below", inclusive=False)
-    total = df.groupBy(series).agg(F.count("*").alias("n"))
-    ranks = below.join(total, series).select(
-        series, value, ((F.col("below") + (F.col("c") + 1) / 2) / F.col("n")).alias("pct_rank")
+    total = known.groupBy(F.col(series).alias("__of")).agg(F.count("*").alias("n"))
+    ranks = below.join(total, F.col(series).eqNullSafe(F.col("__of"))).select(
+        "__of", F.col(value).alias("__value"), ((F.col("below") + (F.col("c") + 1) / 2) / F.col("n")).alias("pct_rank")
+    )
+    same = F.col(series).eqNullSafe(F.col("__of")) & (F.col(value) == F.col("__value"))
+    return df.join(ranks, same, "left").drop("__of", "__value").withColumn(
+        "extreme", (F.col("pct_rank") >= share).cast("int")
     )
-    return df.join(ranks, [series, value]).withColumn("extreme", (F.col("pct_rank") >= share).cast("int"))
 
 
 def extreme_by_threshold(value: Column, limit: float = 50.0) -> Column:
@@ -98,8 +103,8 @@ def scale_stats(df: DataFrame, series: str, columns: list[str]) -> DataFrame:
 
 
 def standard_scale(df: DataFrame, stats: DataFrame, series: str, columns: list[str], with_mean: bool) -> DataFrame:
-    """``<c>_scaled``; statistics come from ``scale_stats`` of the training rows."""
-    out = df.join(stats, series)
+    """``<c>_scaled``; statistics come from ``scale_stats`` of the training rows. A series without them scales to null."""
+    out = _with_stats(df, stats, series)
     for c in columns:
         shifted = F.col(c) - F.col(f"{c}__mean") if with_mean else F.col(c)
         out = out.withColumn(f"{c}_scaled", F.try_divide(shifted, F.col(f"{c}__std")))
@@ -108,7 +113,12 @@ def standard_scale(df: DataFrame, stats: DataFrame, series: str, columns: list[s
 
 def unscale(df: DataFrame, stats: DataFrame, series: str, scaled: str, column: str, name: str) -> DataFrame:
     back = F.col(scaled) * F.col(f"{column}__std") + F.col(f"{column}__mean")
-    return df.join(stats, series).withColumn(name, back).drop(f"{column}__mean", f"{column}__std")
+    return _with_stats(df, stats, series).withColumn(name, back).drop(f"{column}__mean", f"{column}__std")
+
+
+def _with_stats(df: DataFrame, stats: DataFrame, series: str) -> DataFrame:
+    other = stats.withColumnRenamed(series, "__of")
+    return df.join(other, F.col(series).eqNullSafe(F.col("__of")), "left").drop("__of")
 
 
 # Residue letters, ids 1 to 20.
