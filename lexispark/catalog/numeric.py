@@ -362,6 +362,36 @@ def mean_vectors(spark, sf):
     return means.select("conv_id", "turn", F.posexplode("mean").alias("position", "mean")).withColumn("mean", F.round("mean", 5))
 
 
+_SEGMENTS = numbered("string_split_regex(text, chr(10) || '+')", "doc_id", "documents", "segment")
+
+
+@query(
+    "retrieve_segments",
+    f"""
+    WITH s AS MATERIALIZED (SELECT doc_id, i - 1 AS segment_no, segment FROM {_SEGMENTS}),
+    w AS (SELECT doc_id, segment_no, unnest({words_sql('lower(segment)')}) AS token FROM s),
+    c AS (SELECT doc_id, segment_no, token, count(*) AS n FROM w GROUP BY ALL),
+    v AS (SELECT doc_id, segment_no, n, unnest(coalesce(e.v, list_transform(range(len({_Q})), lambda x: 0.0))) AS x,
+                 unnest(range(len({_Q}))) AS k
+          FROM c LEFT JOIN {_TERMS} t USING (token) LEFT JOIN {_V} e ON e.vec_id = t.id),
+    m AS (SELECT doc_id, segment_no, k, sum(n * x) / sum(n) AS x FROM v GROUP BY ALL),
+    l AS (SELECT doc_id, segment_no, list(x ORDER BY k) AS mean FROM m GROUP BY ALL),
+    top AS (SELECT doc_id, segment_no, round(list_cosine_similarity(mean, {_Q}), 6) AS similarity FROM l
+            WHERE list_sum(list_transform(mean, lambda x: abs(x))) > 0
+            ORDER BY round(list_cosine_similarity(mean, {_Q}), 6) DESC, doc_id, segment_no LIMIT 20)
+    SELECT doc_id, CAST(segment_no AS BIGINT) AS segment_no, segment, similarity FROM s JOIN top USING (doc_id, segment_no)
+    """,
+)
+def retrieve_segments(spark, sf):
+    cut = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n+")).alias("segment_no", "segment"))
+    segments = cut.withColumn("segment_no", F.col("segment_no").cast("bigint"))
+    keys = ["doc_id", "segment_no"]
+    tokens = segments.select(*keys, F.explode(tx.words(F.lower("segment"))).alias("token"))
+    query_vector = _query_vector(spark, sf)
+    means = vc.mean_vectors(tokens, _term_vectors(spark, sf), keys, "token", "v", len(query_vector))
+    return vc.retrieve_segments(segments, means, keys, "mean", query_vector, 20)
+
+
 @query(
     "embed_sequences",
     f"""
