@@ -5,8 +5,9 @@
   anchors at equal places, and about one position in 35 is an anchor.
 * **Groups.** Anchors meet by the hash of their piece. Those whose surroundings
   (all bytes that strings with this anchor can reach) equal those of an earlier
-  one are covered whole. What is left of a group, one anchor for each kind of
-  surroundings, gets its bytes.
+  one are covered whole; where both are in one batch of texts, this is settled
+  before the shuffle, so that copies and common passages are no hot keys. What is
+  left of a group, one anchor for each kind of surroundings, gets its bytes.
 * **Suffix arrays.** In a task, the suffixes that start at anchors and the
   reversed prefixes that end there are sorted (deep-shallow). Two strings of 100
   bytes with their anchor at the same place are equal if both sides lie in the
@@ -53,15 +54,15 @@ def _piece_hashes(x: np.ndarray) -> np.ndarray:
     return _mix(h)
 
 
-def anchors(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, position, piece hash and surroundings hash of the anchors of some texts."""
+def anchors(raw: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Text number, position, piece hash, surroundings hash and size on both sides of the anchors of some texts."""
     lengths = np.array([len(r) for r in raw], np.int64)
     ends = np.cumsum(lengths)
     begins = ends - lengths
     x = np.frombuffer(b"".join(raw), np.uint8)
     none = np.zeros(0, np.int64)
     if len(x) < LENGTH:
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none.view(np.uint64), none.view(np.uint64), none, none
     with np.errstate(over="ignore"):
         h = _piece_hashes(x)
         # Only windows inside one text count.
@@ -91,7 +92,27 @@ def anchors(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             p = np.clip(place + shift, begins[text], ends[text] - PIECE)
             around = _mix(around * np.uint64(31) + h[p])
         around = _mix(around * np.uint64(31) + h[place + right - PIECE])
-    return text, place - begins[text], h[place], around
+    return text, place - begins[text], h[place], around, left, right
+
+
+def _settled_here(doc: np.ndarray, at: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors of a batch are the first with their surroundings, and which repeat an earlier one of the batch."""
+    order = np.lexsort((at, doc, around))
+    new = np.append(True, np.diff(around[order].view(np.int64)) != 0)[: len(order)]
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    first, again = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+    first[order[new]] = True
+    # A row that repeats id and text isn't earlier than itself.
+    again[order] = (doc[lead] != doc[order]) | (at[lead] != at[order])
+    return first, again
+
+
+def _merged(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping spans of a document as one; spans come by document and place."""
+    if not len(doc):
+        return doc, begin, end
+    new = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (begin[1:] > end[:-1])))
+    return doc[new], begin[new], np.maximum.reduceat(end, new)
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
@@ -101,32 +122,47 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             sub = batch.column(1).to_numpy(zero_copy_only=False)
             for a, b in groups_of(texts, _CHUNK):
-                text, pos, h, around = anchors([t.encode() for t in texts[a:b]])
+                text, pos, h, around, left, right = anchors([t.encode() for t in texts[a:b]])
+                own, at = doc[a:b][text], (sub[a:b][text] << 32) + pos
+                first, again = _settled_here(own, at, around)
+                spans = _merged(text[again], (at - left)[again], (at + right)[again])
+                n = len(spans[0])
+                span_doc = doc[a:b][spans[0]]
+                with np.errstate(over="ignore"):
+                    anywhere = _mix(span_doc.view(np.uint64) * np.uint64(31) + spans[1].view(np.uint64))
+                # 48 bits find groups as well; the bytes of pieces are compared later.
+                key = np.concatenate([h[first], anywhere]) >> np.uint64(16)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(h.view(np.int64)),
-                        pa.array(around.view(np.int64)),
-                        pa.array(doc[a:b][text]),
-                        pa.array((sub[a:b][text] << 32) + pos),
+                        pa.array(key.view(np.int64)),
+                        pa.array(np.concatenate([around[first].view(np.int64), np.zeros(n, np.int64)])),
+                        pa.array(np.concatenate([own[first], span_doc])),
+                        pa.array(np.concatenate([at[first], spans[1]])),
+                        pa.array(np.concatenate([np.zeros(int(first.sum()), np.int64), spans[2] - spans[1]])),
                     ],
-                    names=["h", "around", "doc", "at"],
+                    names=["h", "around", "doc", "at", "size"],
                 )
 
-    return docs.select("doc", "sub", "text").mapInArrow(run, "h long, around long, doc long, at long")
+    return docs.select("doc", "sub", "text").mapInArrow(
+        run, "h long, around long, doc long, at long, size long"
+    )
 
 
 def _settle(rows: DataFrame) -> DataFrame:
-    """From anchors sorted by piece, surroundings and place: what is covered whole, and what needs its bytes.
+    """From anchors sorted by piece, surroundings and place: what needs its bytes (size 0), and covered spans.
 
-    Only the last row is carried from batch to batch, so a group may have any size.
+    Only the last row is carried from batch to batch, so a group may have any
+    size. Spans that are settled already pass through.
     """
     def run(batches):
         last, waiting = None, None  # last row; the first row of its surroundings if it may still need bytes
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            h, around, doc, at = (c.to_numpy() for c in batch.columns)
+            h, around, doc, at, size = (c.to_numpy() for c in batch.columns)
+            yield _rows(h[size > 0], doc[size > 0], at[size > 0], size[size > 0])
+            h, around, doc, at = (x[size == 0] for x in (h, around, doc, at))
             n = len(h)
+            if n == 0:
+                continue
             before = [np.append(x[:1] if last is None else last[i], x[:-1]) for i, x in enumerate((h, around, doc, at))]
             same_h = h == before[0]
             same_a = same_h & (around == before[1])
@@ -136,24 +172,24 @@ def _settle(rows: DataFrame) -> DataFrame:
             whole = same_a & ~repeat
             first = np.flatnonzero(~same_a)
             if waiting is not None and len(first) and same_h[first[0]]:
-                yield _rows(*([x] for x in waiting), [False])
+                yield _rows(*([x] for x in waiting), [0])
             # A first row needs bytes if other surroundings of its piece come before or after it.
             next_same = np.append(same_h[first[1:]], False) if len(first) else np.zeros(0, bool)
             needs = first[same_h[first] | next_same]
-            yield _rows(h[whole], doc[whole], at[whole], np.ones(int(whole.sum()), bool))
-            yield _rows(h[needs], doc[needs], at[needs], np.zeros(len(needs), bool))
+            left = np.minimum(at[whole] & 0xFFFFFFFF, BEFORE)
+            yield _rows(h[whole], doc[whole], at[whole] - left, left + LENGTH)
+            yield _rows(h[needs], doc[needs], at[needs], np.zeros(len(needs), np.int64))
             if len(first):
                 f = first[-1]
                 waiting = None if same_h[f] else (h[f], doc[f], at[f])
             last = [x[n - 1] for x in (h, around, doc, at)]
 
     ordered = rows.repartition("h").sortWithinPartitions("h", "around", "doc", "at")
-    return ordered.mapInArrow(run, "h long, doc long, at long, whole boolean")
+    return ordered.mapInArrow(run, "h long, doc long, at long, size long")
 
 
-def _rows(h, doc, at, whole) -> pa.RecordBatch:
-    arrays = [pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(whole, pa.bool_())]
-    return pa.RecordBatch.from_arrays(arrays, names=["h", "doc", "at", "whole"])
+def _rows(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "doc", "at", "size"])
 
 
 def _surroundings(docs: DataFrame, needs: DataFrame) -> DataFrame:
@@ -286,7 +322,7 @@ def _repeats_by_digest(rows: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc``, ``sub``, ``spans`` (begin, end; not merged) of rows of ``docs`` with repeated bytes."""
     told = cut_lineage(_settle(_anchor_rows(docs)))
-    needs = told.filter("NOT whole")
+    needs = told.filter("size = 0")
     heavy = needs.groupBy("h").count().filter(F.col("count") > BATCH).select("h")
     if heavy.limit(1).count():
         rest = _surroundings(docs, needs.join(heavy, "h", "left_semi"))
@@ -294,13 +330,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         found = _repeats(_surroundings(docs, light)).union(_repeats_by_digest(rest))
     else:
         found = _repeats(_surroundings(docs, needs))
-    whole = told.filter("whole").select(
-        "doc", "at", F.lit(BEFORE).cast("long").alias("back"), F.lit(LENGTH).cast("long").alias("fore")
-    )
     pos = F.col("at").bitwiseAND(0xFFFFFFFF)
-    spans = whole.union(found).select(
-        "doc", F.shiftright("at", 32).alias("sub"),
-        F.struct(F.greatest(pos - F.col("back"), F.lit(0)).alias("begin"), (pos + F.col("fore")).alias("end")).alias("span"),
+    span = lambda begin, end: F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end")).alias("span")
+    sub = F.shiftright("at", 32).alias("sub")
+    spans = told.filter("size > 0").select("doc", sub, span(pos, pos + F.col("size"))).union(
+        found.select("doc", sub, span(pos - F.col("back"), pos + F.col("fore")))
     )
     return spans.groupBy("doc", "sub").agg(F.collect_list("span").alias("spans"))
 
@@ -308,11 +342,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id``, ``doc``, ``sub``, ``text``: rows named by id and, where an id is missing or repeated, by content."""
     t = F.coalesce(F.col(text), F.lit(""))
-    own = F.xxhash64(t)
+    repeated = docs.groupBy(doc_id).count().filter(F.col(doc_id).isNotNull() & (F.col("count") > 1)).limit(1).count()
+    sub = F.xxhash64(F.lit("sub"), t).bitwiseAND(0x7FFFFFFF) if repeated else F.lit(0).cast("long")
     return docs.select(
         F.col(doc_id).alias("doc_id"),
-        F.coalesce(F.col(doc_id).cast("long"), own.bitwiseOR(F.lit(-(2**63)))).alias("doc"),
-        F.xxhash64(F.lit("sub"), t).bitwiseAND(0x7FFFFFFF).alias("sub"),
+        F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(t).bitwiseOR(F.lit(-(2**63)))).alias("doc"),
+        sub.alias("sub"),
         t.alias("text"),
     )
 
