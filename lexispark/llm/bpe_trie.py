@@ -60,7 +60,7 @@ class TrieEncoder:
                 for a, a_until in self.right_border[left]
                 for b, b_until in self.left_border[right]
             )
-            if len(self.lasting) > 2_000_000:
+            if len(self.lasting) > 700_000:
                 self.lasting.clear()
             self.lasting[pair] = known
         return known
