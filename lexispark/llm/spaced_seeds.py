@@ -13,6 +13,7 @@ MASKS = ((0, 1, 2, 4, 5), (0, 1, 6, 8, 9))
 WINDOW, LEAST_WORDS = 16, 10
 #: Most seeds of benchmarks that are broadcast (40 bytes each); beyond it, the seeds are joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
+_SALTS = 16
 
 
 def spare(words: int) -> int:
@@ -68,7 +69,15 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_text: str = "text", item_id:
         .select("content", "item", "words_hash", (F.col("at") - F.col("item_at")).alias("shift"))
         .distinct()
     )
-    hit_texts = texts.join(hits.select("content").distinct(), "content", "left_semi").dropDuplicates(["content"])
+    # Copies of a text that many rows hold meet in several tasks, each of which passes on one.
+    salt = F.pmod(F.spark_partition_id(), F.lit(_SALTS)).alias("salt")
+    salted = hits.select("content").distinct().select("content", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    hit_texts = (
+        texts.select("content", "t", salt)
+        .join(salted, ["content", "salt"], "left_semi")
+        .select("content", "t")
+        .dropDuplicates(["content"])
+    )
     lines = (
         hits.join(hit_texts, "content")
         .join(bench.withColumn("words_hash", F.xxhash64("item_words")), ["item", "words_hash"])
