@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexispark.llm.pieces import groups_of
@@ -16,10 +17,10 @@ from lexispark.llm.registry import fold_of, query, table
 
 #: Most labelled rows that a model is learnt from, chosen by a hash of their ids.
 SAMPLE_ROWS = 20_000
-#: Tokens whose log-odds are at least so many standard deviations above 0 speak for toxicity.
-LEAST_Z = 4.0
-#: Weight of the corpus in the Dirichlet prior, and what every token has besides.
-PRIOR_MASS, PRIOR_FLOOR = 1000.0, 0.5
+#: Strengths that are tried for the two Dirichlet priors: of tokens that say nothing, and of tokens that tell.
+DULL_PRIORS, TELLING_PRIORS = (50.0, 100.0, 200.0, 400.0, 1000.0, 3000.0), (0.5, 1.0, 2.0, 4.0, 8.0)
+#: Scores are counted for the calibration in bins of this width.
+BIN = 1e-4
 #: Share of telling tokens assumed inside a toxic passage; sets how fast a segment's score falls between them.
 SHARE_INSIDE = 0.08
 
@@ -39,12 +40,17 @@ def tokens_of(word: str) -> set[str]:
     return {marked} | {marked[i : i + n] for n in PART_LENGTHS for i in range(len(marked) - n + 1)}
 
 
+def token_id(token: str) -> int:
+    """Signed 64-bit hash of a token."""
+    h = xxhash.xxh3_64_intdigest(token)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def segments(hits: list[int], values: list[float], gap: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first token, last token, score) in linear time.
 
-    ``hits`` are the positions of positive tokens with their ``values``; every
-    other token scores ``-gap``, so runs of them need one step. Each candidate
-    keeps the running totals before and after it. A new one joins the nearest
+    ``hits`` are positions with their ``values``; every other token scores
+    ``-gap``, so runs of them need one step. Each candidate keeps the running totals before and after it. A new one joins the nearest
     earlier candidate that starts lower, if that one also ended lower.
     """
     total, at = 0.0, -1
@@ -54,6 +60,8 @@ def segments(hits: list[int], values: list[float], gap: float) -> list[tuple[int
         first, before = position, total
         total += value
         at = position
+        if value <= 0:
+            continue
         lower = len(found) - 1
         while True:
             while lower >= 0 and found[lower][2] >= before:
@@ -69,7 +77,8 @@ def segments(hits: list[int], values: list[float], gap: float) -> list[tuple[int
 
 @dataclass(frozen=True)
 class ToxicModel:
-    log_odds: dict[str, float]
+    tokens: np.ndarray = field(compare=False)  # sorted ids
+    log_odds: np.ndarray = field(compare=False)
     gap: float
     decay: float  # lambda of the extreme-value distribution
     factor: float  # its K
@@ -77,20 +86,26 @@ class ToxicModel:
     seen: dict[str, float] = field(default_factory=dict, compare=False)
 
     def value(self, word: str) -> float:
-        """The largest log-odds among the telling tokens of a word, 0 if it has none."""
+        """The log-odds farthest from 0 among the tokens of a word, less the gap; unknown tokens have 0."""
         known = self.seen.get(word)
         if known is None:
             if len(self.seen) > 500_000:
                 self.seen.clear()
-            odds = self.log_odds
-            known = self.seen[word] = max((odds[t] for t in tokens_of(word) if t in odds), default=0.0)
+            best = 0.0
+            if len(self.tokens):
+                ids = np.array([token_id(t) for t in sorted(tokens_of(word))], np.int64)
+                at = np.minimum(np.searchsorted(self.tokens, ids), len(self.tokens) - 1)
+                odds = np.where(self.tokens[at] == ids, self.log_odds[at], 0.0)
+                best = float(odds[np.abs(odds).argmax()])
+            known = self.seen[word] = best - self.gap
         return known
 
-    def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
+    def values(self, words: list[str]) -> list[float]:
         seen, value = self.seen.get, self.value
-        values = [v if (v := seen(w)) is not None else value(w) for w in words]
-        hits = [i for i, v in enumerate(values) if v]
-        return segments(hits, [values[i] for i in hits], self.gap)
+        return [v if (v := seen(w)) is not None else value(w) for w in words]
+
+    def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
+        return segments(range(len(words)), self.values(words), 0.0)
 
     def chance(self, n_words: int, score: float) -> float:
         """Log of the number of segments of at least this score that a harmless text of this length holds by chance."""
@@ -128,6 +143,43 @@ def _decay(value: np.ndarray, chance: np.ndarray) -> float:
     return high
 
 
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _log_beta(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return _lgamma(x) + _lgamma(y) - _lgamma(x + y)
+
+
+def shrunk_log_odds(toxic: np.ndarray, other: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Expected log-odds of tokens by how many toxic and other texts hold them; ``times`` tokens have the same counts.
+
+    A token's toxic share follows one of two Dirichlet priors around the share
+    of all: a narrow one, whose tokens say nothing, or a wide one. Their
+    strengths and weights are those of the largest likelihood over all tokens.
+    The log-odds under the wide prior count with the probability of that prior,
+    so rare tokens get little and none is left out.
+    """
+    share = float((toxic * times).sum() / ((toxic + other) * times).sum())
+    if not 0 < share < 1:
+        return np.zeros(len(toxic))
+    likelihood = lambda m: (
+        _log_beta(toxic + m * share, other + m * (1 - share)) - math.lgamma(m * share) - math.lgamma(m * (1 - share)) + math.lgamma(m)
+    )
+    dull, telling = ({m: likelihood(m) for m in ms} for ms in (DULL_PRIORS, TELLING_PRIORS))
+    best = None
+    for a in dull.values():
+        for m, b in telling.items():
+            weight = 0.01
+            for _ in range(40):
+                tells = 1 / (1 + np.exp((a + math.log(1 - weight) - b - math.log(weight)).clip(-500, 500)))
+                weight = min(0.5, max(1e-6, float((times * tells).sum() / times.sum())))
+            fit = float((times * np.logaddexp(a + math.log(1 - weight), b + math.log(weight))).sum())
+            if best is None or fit > best[0]:
+                best = fit, m, tells
+    _, m, tells = best
+    return tells * (np.log(toxic / (m * share) + 1) - np.log(other / (m * (1 - share)) + 1))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Newton steps for P(y=1) = sigmoid(w x + c), with a weak prior on w and a start at the base rate."""
     z = np.column_stack([x, np.ones(len(x))])
@@ -172,73 +224,69 @@ def fit(
         toxic, other = Counter(), Counter()
         for batch in batches:
             for t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                (toxic if y else other).update(set().union(*map(tokens_of, set(words_of(t)))))
+                (toxic if y else other).update(map(token_id, set().union(*map(tokens_of, set(words_of(t))))))
         found = list(toxic.keys() | other.keys())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.string()), *(pa.array([c[w] for w in found], pa.int64()) for c in (toxic, other))],
+            [pa.array(found, pa.int64()), *(pa.array([c[w] for w in found], pa.int64()) for c in (toxic, other))],
             names=["token", "toxic", "other"],
         )
 
+    # All tokens of the sample, in fixed width: they are in proportion to the sample, which is bounded.
     counts = (
         texts.filter("half = 0")
         .select(text, "toxic")
-        .mapInArrow(count, "token string, toxic long, other long")
+        .mapInArrow(count, "token long, toxic long, other long")
         .groupBy("token")
         .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+        .toArrow()
     )
-    totals = counts.agg(F.sum("toxic"), F.sum("other"), F.count("*")).first()
-    if not totals[0]:
-        return ToxicModel({}, 0.1, 1.0, 1.0, (0.0, 0.0, -6.0))
-    # Few tokens can be this far from chance; they are in proportion to the sample, which is bounded.
-    n_t, n_o, n_w = (float(x) for x in totals)
-    prior = F.lit(PRIOR_MASS / (n_t + n_o)) * (F.col("toxic") + F.col("other")) + F.lit(PRIOR_FLOOR)
-    a, b = F.col("toxic") + prior, F.col("other") + prior
-    all_a, all_b = (F.lit(x + PRIOR_MASS + PRIOR_FLOOR * n_w) for x in (n_t, n_o))
-    # A single token leaves nothing beside it.
-    rest = lambda total, own: F.greatest(total - own, F.lit(1e-9))
-    delta = F.log(a / rest(all_a, a)) - F.log(b / rest(all_b, b))
-    telling = (
-        counts.withColumn("delta", delta)
-        .filter(F.col("delta") / F.sqrt(1 / a + 1 / b) >= LEAST_Z)
-        .select("token", "delta")
-        .collect()
-    )
-    odds = {r.token: float(r.delta) for r in telling if r.delta > 0}
+    token, n_toxic, n_other = (counts[c].to_numpy().copy() for c in ("token", "toxic", "other"))
+    if not n_toxic.sum():
+        return ToxicModel(np.zeros(0, np.int64), np.zeros(0), 0.1, 1.0, 1.0, (0.0, 0.0, -6.0))
+    pairs, which, times = np.unique(np.stack([n_toxic, n_other]), axis=1, return_inverse=True, return_counts=True)
+    order = np.argsort(token)
+    token, odds = token[order], shrunk_log_odds(*pairs.astype(float), times)[which.ravel()][order]
     gap = -math.log(1 - SHARE_INSIDE)
-    draft = ToxicModel(odds, gap, 1.0, 1.0, (0.0, 0.0, 0.0))
+    draft = ToxicModel(token, odds, gap, 1.0, 1.0, (0.0, 0.0, 0.0))
 
     def parse(batches):
         for batch in batches:
-            rows = []
+            rows, bins = [], Counter()
             for t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(t)
-                values = [v for v in map(draft.value, words) if v]
-                rows.append((y, len(words), values, [s[2] for s in draft.segments(words)]))
-            columns = zip(*rows) if rows else [[]] * 4
-            kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+                if not y:
+                    bins.update(round(v / BIN) for v in draft.values(words))
+                rows.append((y, len(words), [s[2] for s in draft.segments(words)], [], []))
+            if rows:  # how often harmless texts of the batch hold each score
+                rows[0] = (*rows[0][:3], list(bins.keys()), list(bins.values()))
+            columns = zip(*rows) if rows else [[]] * 5
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
-                names=["toxic", "n", "hits", "found"],
+                names=["toxic", "n", "found", "bins", "times"],
             )
 
     rows = (
         texts.filter("half = 1")
         .select(text, "toxic")
-        .mapInArrow(parse, "toxic int, n long, hits array<double>, found array<double>")
+        .mapInArrow(parse, "toxic int, n long, found array<double>, bins array<long>, times array<long>")
         .collect()
     )
     harmless = [r for r in rows if not r.toxic and r.n]
-    hits = np.array([v for r in harmless for v in r.hits])
     n = sum(r.n for r in harmless)
-    if len(hits):
-        decay = _decay(np.append(hits, -gap), np.append(np.ones(len(hits)), n - len(hits)) / n)
+    bins = Counter()
+    for r in rows:
+        bins.update(dict(zip(r.bins, r.times, strict=True)))
+    if bins and max(bins) > 0:
+        value, often = (np.array(list(x), float) for x in (bins.keys(), bins.values()))
+        decay = _decay(value * BIN, often / n)
         factor = len(harmless) / sum(r.n * math.exp(-decay * max(r.found, default=0.0)) for r in harmless)
     else:
         decay, factor = 1.0, 1.0 / max(1, n)
-    plain = ToxicModel(odds, gap, decay, factor, (0.0, 0.0, 0.0))
+    plain = ToxicModel(token, odds, gap, decay, factor, (0.0, 0.0, 0.0))
     x = np.array([plain.evidence(r.n, r.found) for r in rows]).reshape(-1, 2)
     weights = _logistic(x, np.array([float(r.toxic) for r in rows])) if rows else (1.0, 0.0, -3.0)
-    return ToxicModel(odds, gap, decay, factor, weights)
+    return ToxicModel(token, odds, gap, decay, factor, weights)
 
 
 def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, text: str = "text") -> DataFrame:

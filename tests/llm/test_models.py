@@ -33,6 +33,18 @@ def test_toxicity_held_out(spark):
     assert (got[got.predicted == 1].passages.str.len() > 0).mean() > 0.9
 
 
+def test_toxicity_held_out_of_few(spark):
+    got = held_out(spark, toxicity.toxicity(spark, SF), "toxic")
+    assert got.score.nunique() > 2
+    assert (got[got.y == 1].predicted == 1).mean() >= 0.5 and (got[got.y == 0].predicted == 0).mean() >= 0.95
+
+
+def test_log_odds_leave_no_token_out():
+    counts = np.array([[0, 1], [1, 0], [2, 0], [8, 0], [0, 60], [30, 300]], float).T
+    odds = toxicity.shrunk_log_odds(*counts, np.array([5000, 600, 50, 12, 40, 400]))
+    assert 0 < odds[1] < odds[2] < odds[3] and odds[4] < odds[0] < 0 and abs(odds[5]) < 0.1
+
+
 def test_model_edge_rows(spark, make_docs):
     docs = make_docs([(1, None), (None, ""), (2, "   "), (3, "one"), (3, "one"), (4, "word " * 100_000)])
     labels = spark.createDataFrame([(3, 1, 1), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
