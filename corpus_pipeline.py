@@ -14,9 +14,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return pu_quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
 
 
-def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that many documents of their source hold."""
-    cleaned = site_lines.drop_boilerplate(docs, F.col("source"))
+def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str, max_ratio: float = 0.01) -> DataFrame:
+    """All documents, without lines that over ``max_ratio`` of their source's documents hold, and at least four.
+
+    A source holds far more than a site: ordinary lines stand in one document or a few, repeated ones in some
+    hundredths of it.
+    """
+    cleaned = site_lines.drop_boilerplate(docs, F.col("source"), max_ratio=max_ratio)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -75,3 +75,19 @@ def test_stages(spark, folder, tmp_path):
 def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.count() > 0 and got.columns[:4] == ["doc_id", "lang", "source", "n_tokens"]
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+
+
+def test_planted_lines_of_a_large_source(spark, make_docs):
+    rng = random.Random(3)
+    clean = ["\n".join(prose(rng, 12) for _ in range(5)) for _ in range(600)]
+    planted = {prose(rng, 8): step for step in (10, 14, 20)}  # 10, 7 and 5 % of the documents
+    texts = [
+        "\n".join([*(x for x, step in planted.items() if i % step == 0), t]) for i, t in enumerate(clean)
+    ]
+    docs = make_docs([(i, t, "en", "big") for i, t in enumerate(texts)])
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_site_lines(spark, docs, "").collect()}
+    assert got == dict(enumerate(clean))
