@@ -17,10 +17,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str, max_ratio: float = 0.01) -> DataFrame:
     """All documents, without lines that over ``max_ratio`` of their source's documents hold, and at least four.
 
+    Copies and near copies count as one document here: the next stage keeps one of them, which needs its lines.
+
     A source holds far more than a site: ordinary lines stand in one document or a few, repeated ones in some
     hundredths of it.
     """
-    cleaned = site_lines.drop_boilerplate(docs, F.col("source"), max_ratio=max_ratio)
+    cleaned = site_lines.drop_boilerplate(docs, F.col("source"), max_ratio=max_ratio, by_content=True)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -20,15 +20,48 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
+def _least_shingles(text: Column) -> tuple[Column, Column]:
+    """Two min-hashes of the text's runs of three words; fewer words make one run. Near copies have nearly always one in common."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+")
+
+    def least(w: Column) -> Column:
+        n = F.size(w) - 2
+        runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat_ws(" ", F.slice(w, i, 3)))
+        runs = F.when(n < 1, F.array(F.concat_ws(" ", w))).otherwise(runs)
+        both = lambda r: F.struct(
+            F.array_min(F.transform(r, lambda x: F.xxhash64(x))).alias("a"),
+            F.array_min(F.transform(r, lambda x: F.xxhash64(x, F.lit(1)))).alias("b"),
+        )
+        return let(runs, both)
+
+    found = let(words, least)
+    return found["a"], found["b"]
+
+
+def _contents(rows: DataFrame, *keys: str) -> DataFrame:
+    """Number of different contents by ``keys``: texts that share one of both min-hashes count once."""
+    first = rows.groupBy(*keys, "a").agg(F.min("b").alias("b"))
+    return first.select(*keys, "b").distinct().groupBy(*keys).agg(F.count("*").alias("count"))
+
+
 def boilerplate(
-    pages: DataFrame, host: Column, text: str, max_ratio: float = MAX_RATIO, least_pages: int = LEAST_PAGES
+    pages: DataFrame,
+    host: Column,
+    text: str,
+    max_ratio: float = MAX_RATIO,
+    least_pages: int = LEAST_PAGES,
+    by_content: bool = False,
 ) -> DataFrame:
     """``host``, ``digest``, ``n_pages``, ``ratio`` of every boilerplate line.
 
-    Rows of one page count a line once. Only digests and counts are shuffled,
-    added up before and after, so neither a hot host nor a hot line meets in one
-    task.
+    Rows of one page count a line once. With ``by_content`` copies and near
+    copies of a page count as one page, for the line and for the host: what is
+    repeated because its text is copied is no boilerplate. Only digests and
+    counts are shuffled, added up before and after, so neither a hot host nor a
+    hot line meets in one task.
     """
+    if by_content:
+        return _boilerplate_by_content(pages, host, text, max_ratio, least_pages)
     rows = pages.select(host.alias("host"), F.col(text).alias("t"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
     distinct = F.array_distinct(F.filter(_lines(F.col("t")), lambda x: ~x.rlike(_BLANK)))
@@ -42,23 +75,41 @@ def boilerplate(
     return counts.join(sizes, "host").withColumn("ratio", ratio).filter(F.col("ratio") > max_ratio).drop("host_pages")
 
 
+def _boilerplate_by_content(
+    pages: DataFrame, host: Column, text: str, max_ratio: float, least_pages: int
+) -> DataFrame:
+    a, b = _least_shingles(F.col(text))
+    rows = pages.select(host.alias("host"), F.col(text).alias("t"), a.alias("a"), b.alias("b"))
+    sizes = _contents(rows.select("host", "a", "b"), "host").withColumnRenamed("count", "host_pages")
+    distinct = F.array_distinct(F.filter(_lines(F.col("t")), lambda x: ~x.rlike(_BLANK)))
+    lines = rows.select("host", "a", "b", F.explode(distinct).alias("line"))
+    counts = (
+        _contents(lines.select("host", _digest(F.col("line")).alias("digest"), "a", "b"), "host", "digest")
+        .withColumnRenamed("count", "n_pages")
+        .filter(F.col("n_pages") >= least_pages)
+    )
+    ratio = F.col("n_pages") / F.col("host_pages")
+    return counts.join(sizes, "host").withColumn("ratio", ratio).filter(F.col("ratio") > max_ratio).drop("host_pages")
+
+
 def drop_boilerplate(
     pages: DataFrame,
     host: Column,
     text: str = "text",
     max_ratio: float = MAX_RATIO,
     least_pages: int = LEAST_PAGES,
+    by_content: bool = False,
 ) -> DataFrame:
     """``pages`` without boilerplate lines in ``text``, with ``n_lines`` and ``n_dropped``; all rows and columns stay.
 
     Lines are split at newlines and compared as they are. Blank lines are kept.
     Rows with a null host form one host. A null text has no line and stays null;
     a text of which all lines go becomes empty. Repeated rows are pages of their
-    own. Input columns named ``n_lines`` or ``n_dropped`` are replaced.
+    own unless ``by_content`` counts near copies once. Input columns named ``n_lines`` or ``n_dropped`` are replaced.
     """
     kept = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
     site = F.coalesce(host, F.lit(""))
-    told = boilerplate(pages, site, text, max_ratio, least_pages)
+    told = boilerplate(pages, site, text, max_ratio, least_pages, by_content)
     # Lines of a text are the same wherever it stands, so hits are found and kept by host and content.
     lines = pages.select(
         site.alias("host"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("content"), F.posexplode(_lines(F.col(text)))

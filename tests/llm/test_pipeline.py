@@ -91,3 +91,19 @@ def test_planted_lines_of_a_large_source(spark, make_docs):
     docs = make_docs([(i, t, "en", "big") for i, t in enumerate(texts)])
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_site_lines(spark, docs, "").collect()}
     assert got == dict(enumerate(clean))
+
+
+def test_copies_are_no_boilerplate(spark, make_docs):
+    rng = random.Random(5)
+    footer = prose(rng, 6)
+    other = ["\n".join([prose(rng, 12), prose(rng, 12), footer]) for _ in range(40)]
+    copied = [prose(rng, 30) for _ in range(5)]
+    near = ["\n".join([*copied[:-1], " ".join([*copied[-1].split()[:-1], f"end{i}"])]) for i in range(10)]
+    texts = ["\n".join(copied)] * 20 + near + other
+    docs = make_docs([(i, t, "en", "src") for i, t in enumerate(texts)])
+    cleaned = corpus_pipeline.drop_site_lines(spark, docs, "")
+    got = {r.doc_id: r.text for r in cleaned.collect()}
+    assert all(got[i] == t for i, t in enumerate(texts[:30]))
+    assert all(got[30 + i] == "\n".join(t.split("\n")[:2]) for i, t in enumerate(other))
+    kept = [r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, cleaned, "").collect()]
+    assert sorted(kept) == [0, *range(30, 70)]
