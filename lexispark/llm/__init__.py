@@ -10,7 +10,7 @@ import importlib
 
 from lexispark.llm.registry import ORACLES, QUERIES
 
-_MODULES = ["bpe_trie", "pu_quality", "toxicity", "token_store", "weak_quality", "site_lines", "perspectives", "spaced_seeds", "jaccard_join", "substring_dedup", "turn_repair", "merkle_manifest"]
+_MODULES = ["bpe_trie", "pu_quality", "toxicity", "token_store", "weak_quality", "site_lines", "perspectives", "spaced_seeds", "jaccard_join", "substring_dedup", "turn_repair", "merkle_manifest", "minhash_groups"]
 
 for _name in _MODULES:
     importlib.import_module(f"lexispark.llm.{_name}")
