@@ -342,9 +342,29 @@ def mask_labels(spark, sf):
     return talk_ids(spark, sf, 0).select("conv_id", "turn", joined(kept).alias("labels"))
 
 
-@query("bpe_merges")
+_MERGES = 24
+
+
+def _merge_steps_sql(merges: int) -> str:
+    """One-by-one merging, a step of SQL for each merge; every symbol stands between two blanks of its own."""
+    steps = [
+        f"""w0 AS MATERIALIZED (SELECT ' ' || array_to_string(string_split(token, ''), '  ') || ' ' AS s, n
+            FROM (SELECT token, count(*) AS n FROM {_DOC_TOKENS} GROUP BY token))"""
+    ]
+    for k in range(merges):
+        steps.append(f"""p{k} AS MATERIALIZED (
+            SELECT x[i] AS a, x[i + 1] AS b, CAST(sum(n) AS BIGINT) AS c
+            FROM (SELECT x, n, unnest(range(1, len(x))) AS i FROM (SELECT string_split(trim(s), '  ') AS x, n FROM w{k}))
+            GROUP BY ALL ORDER BY c DESC, a, b LIMIT 1),
+        w{k + 1} AS MATERIALIZED (SELECT replace(s, ' ' || a || '  ' || b || ' ', ' ' || a || b || ' ') AS s, n FROM w{k}, p{k})""")
+    found = " UNION ALL ".join(f"SELECT {k} AS rank, a, b, c FROM p{k} WHERE c >= 5" for k in range(merges))
+    return f"WITH {', '.join(steps)} SELECT rank, a AS left_symbol, b AS right_symbol, c AS n FROM ({found})"
+
+
+@query("bpe_merges", _merge_steps_sql(_MERGES))
 def bpe_merges(spark, sf):
+    """The first merges; without a number ``learn_merges`` goes down to the least frequency, in some hundred rounds."""
     counts = tk.word_counts(docs(spark, sf), tx.words(F.lower("text")))
-    learnt = vocab.learn_merges(counts, merges=10)
+    learnt = vocab.learn_merges(counts, merges=_MERGES)
     rows = [(i, a, b, n) for i, (a, b, n) in enumerate(learnt)]
     return spark.createDataFrame(rows, "rank int, left_symbol string, right_symbol string, n bigint")

@@ -154,39 +154,80 @@ def semi_join_vocabulary(vectors: DataFrame, vocab: DataFrame, key: str, token:
     return vectors.withColumn(token, word).join(vocab.select(token).distinct(), token, "left_semi")
 
 
-def learn_merges(words: DataFrame, merges: int, min_frequency: int = 5, checkpoint_every: int = 5) -> list[tuple[str, str, int]]:
-    """Most frequent adjacent pairs, merged one after another: ``[(left, right, count), ...]``.
+#: Merges learnt in one round at most, and ranked pairs that are looked at for them.
+ROUND_MERGES, ROUND_RANKED = 64, 512
 
-    ``words`` holds distinct ``word, n``. Symbols are kept separated by spaces;
-    each round counts pairs on the cluster and brings one row to the driver.
+
+def independent_merges(
+    ranked: list[tuple[str, str, int]], complete: bool, most: int = ROUND_MERGES
+) -> list[tuple[str, str, int]]:
+    """The first pairs of a ranking that one-by-one merging would take in this order.
+
+    Two pairs get in each other's way only if one ends with the symbol that the
+    other begins with. What a merge creates is at most as frequent as the pair
+    that it destroys, which is such a pair. So all pairs more frequent than the
+    first one in the way of an earlier one keep their counts and their order, and
+    nothing new comes between. The first pair may always be taken.
     """
-    current = words.select(
-        F.array_join(F.filter(F.split("word", ""), lambda ch: ch != ""), " ").alias("symbols"), "n"
-    )
+    lefts: set[str] = set()
+    rights: set[str] = set()
+    bound = 0 if complete else ranked[-1][2]
+    taken = []
+    for a, b, n in ranked:
+        if a == b or a in rights or b in lefts:
+            bound = n
+            if not taken:
+                taken.append((a, b, n))
+            break
+        if len(taken) == most:
+            break
+        taken.append((a, b, n))
+        lefts.add(a)
+        rights.add(b)
+    return taken[:1] + [p for p in taken[1:] if p[2] > bound]
+
+
+def learn_merges(
+    words: DataFrame, merges: int | None = None, min_frequency: int = 5, checkpoint_every: int = 6
+) -> list[tuple[str, str, int]]:
+    """Most frequent adjacent pairs, as if merged one after another: ``[(left, right, count), ...]``.
+
+    ``words`` holds distinct ``word, n``; ties go by the symbols. Without
+    ``merges`` all pairs are learnt down to ``min_frequency``. A round counts
+    pairs on the cluster, brings ``ROUND_RANKED`` of them to the driver, takes all
+    that don't get in each other's way, and applies them to the words at once.
+    Each symbol of a word stands between two blanks of its own, so a plain
+    replacement from the left is a merge.
+    """
+    letters = F.filter(F.split("word", ""), lambda ch: ch != "")
+    marked = F.array_join(F.transform(letters, lambda ch: F.concat(F.lit(" "), ch, F.lit(" "))), "")
+    current = cut_lineage(words.select(marked.alias("symbols"), "n").filter("length(symbols) > 3"))
     learnt: list[tuple[str, str, int]] = []
-    current = cut_lineage(current)
-    while len(learnt) < merges:
-        parts = F.split("symbols", " ")
-        pairs = F.zip_with(
-            F.slice(parts, F.lit(1), F.size(parts) - 1),
-            F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
-            lambda a, b: F.struct(a.alias("a"), b.alias("b")),
+    rounds = 0
+    while merges is None or len(learnt) < merges:
+        parts = F.split(F.substring("symbols", 2, 1 << 30), "  ?")
+        pairs = F.transform(
+            F.sequence(F.lit(1), F.size("parts") - 2),
+            lambda i: F.struct(F.get("parts", i - 1).alias("a"), F.get("parts", i).alias("b")),
         )
-        best = (
-            current.filter(F.contains("symbols", F.lit(" ")))
+        counts = (
+            current.select(parts.alias("parts"), "n")
+            .filter("size(parts) > 2")
             .select(F.inline(pairs), "n")
             .groupBy("a", "b")
             .agg(F.sum("n").alias("count"))
-            .orderBy(F.desc("count"), "a", "b")
-            .first()
+            .filter(F.col("count") >= min_frequency)
         )
-        if best is None or best["count"] < min_frequency:
+        ranked = [tuple(r) for r in counts.orderBy(F.desc("count"), "a", "b").limit(ROUND_RANKED).collect()]
+        if not ranked:
             break
-        learnt.append((best["a"], best["b"], best["count"]))
-        quoted = rf"(?<!\S)\Q{best['a']} {best['b']}\E(?!\S)"
-        current = current.withColumn(
-            "symbols", F.regexp_replace("symbols", quoted, (best["a"] + best["b"]).replace("\\", "\\\\").replace("$", "\\$"))
-        )
-        if len(learnt) % checkpoint_every == 0:
+        found = independent_merges(ranked, complete=len(ranked) < ROUND_RANKED)
+        learnt += found
+        steps = F.array(*[F.struct(F.lit(f" {a}  {b} ").alias("old"), F.lit(f" {a}{b} ").alias("new")) for a, b, _ in found])
+        merged = F.aggregate(steps, F.col("symbols"), lambda text, x: F.replace(text, x["old"], x["new"]))
+        # A word that is one symbol has no pair left.
+        current = current.select(merged.alias("symbols"), "n").filter(F.instr("symbols", "  ") > 0)
+        rounds += 1
+        if rounds % checkpoint_every == 0:
             current = cut_lineage(current)
-    return learnt
+    return learnt if merges is None else learnt[:merges]

@@ -1,5 +1,8 @@
 """Vocabularies, postings and encoding beyond what the oracles see."""
 
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from lexispark.catalog import QUERIES
@@ -49,3 +52,48 @@ def test_no_list_is_shuffled_by_token_alone(spark):
 def test_map_only_queries_do_not_shuffle(spark):
     plan = QUERIES["filter_bad_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def one_by_one(words, least):
+    """Merge the most frequent pair, count anew, and so on."""
+    state, learnt = {w: list(w) for w in words}, []
+    while True:
+        counts = Counter()
+        for w, x in state.items():
+            for pair in zip(x, x[1:]):
+                counts[pair] += words[w]
+        if not counts:
+            return learnt
+        (a, b), n = min(counts.items(), key=lambda e: (-e[1], e[0]))
+        if n < least:
+            return learnt
+        learnt.append((a, b, n))
+        for w, x in state.items():
+            out = []
+            for sym in x:
+                if out and out[-1] == a and sym == b:
+                    out[-1] = a + b
+                else:
+                    out.append(sym)
+            state[w] = out
+
+
+def test_merges_equal_one_by_one_merging(spark):
+    rng = random.Random(4)
+    syllables = ["ba", "na", "an", "aa", "tion", "er", "\\E", "$1", "é", "th"]
+    found = Counter("".join(rng.choices(syllables, k=rng.randint(1, 5))) for _ in range(700))
+    found |= Counter({"aaaaaaa": 9, "z": 50, "": 3})
+    words = spark.createDataFrame(list(found.items()), "word string, n long")
+    want = one_by_one(found, 5)
+    assert len(want) > 60
+    assert vocab.learn_merges(words, min_frequency=5) == want
+    assert vocab.learn_merges(words, merges=7) == want[:7]
+    assert vocab.learn_merges(words.limit(0)) == []
+
+
+def test_rounds_take_what_is_not_in_the_way():
+    ranked = [("t", "h", 90), ("i", "n", 80), ("a", "n", 80), ("h", "e", 70), ("o", "u", 60)]
+    assert vocab.independent_merges(ranked, True) == ranked[:3]
+    assert vocab.independent_merges([("a", "a", 9), ("b", "c", 8)], True) == [("a", "a", 9)]
+    assert vocab.independent_merges([("a", "b", 9), ("b", "c", 9), ("d", "e", 9)], True) == [("a", "b", 9)]
+    assert vocab.independent_merges(ranked[:3], False) == ranked[:1]
