@@ -11,7 +11,7 @@ from lexispark.catalog.encoding import _TERMS, talk, terms
 from lexispark.catalog.registry import query, table
 from lexispark.catalog.sqlparts import WSC, numbered, words_sql
 from lexispark.functions import text as tx
-from lexispark.operators import dialog as dg, metrics as mt, series as sr, vectors as vc
+from lexispark.operators import dialog as dg, metrics as mt, series as sr, similarity, vectors as vc
 
 
 # ---- series ---------------------------------------------------------------------------------
@@ -239,6 +239,44 @@ def retrieve_topk(spark, sf):
     )
 
 
+_ASKED = f"""(
+    SELECT query_id, CAST(rank AS INT) AS rank, vec_id, similarity + 0.0 AS similarity FROM (
+        SELECT query_id, vec_id, similarity,
+            row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank
+        FROM (SELECT q.vec_id AS query_id, r.vec_id, round(list_cosine_similarity(r.v, q.v), 6) AS similarity
+              FROM {_V} r CROSS JOIN (SELECT * FROM {_V} WHERE vec_id % 50 = 0) q))
+    WHERE rank <= 20)"""
+
+
+def _nearest(spark, sf, k):
+    """The ``k`` nearest rows of every row whose id is divisible by 50."""
+    rows = vectors(spark, sf)
+    return similarity.topk_for_queries(rows.filter("vec_id % 50 = 0"), rows, "vec_id", "v", k)
+
+
+@query("topk_similar_set", f"SELECT * FROM {_ASKED}")
+def topk_similar_set(spark, sf):
+    return _nearest(spark, sf, 20)
+
+
+@query(
+    "retrieve_topk_set",
+    f"""
+    SELECT query_id, rank, vec_id AS doc_id, similarity, CAST(i - 1 AS BIGINT) AS segment_no, segment
+    FROM {numbered("string_split_regex(text, chr(10) || '+')", 'doc_id', 'documents', 'segment')} d
+    JOIN {_ASKED} top ON top.vec_id = d.doc_id WHERE rank <= 5
+    """,
+)
+def retrieve_topk_set(spark, sf):
+    """The retrieval step for a set of questions: the texts of their five nearest documents, by segments."""
+    top = _nearest(spark, sf, 5).withColumnRenamed("vec_id", "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    # A document that many questions find is joined once and cut once.
+    wanted = docs.join(top.select("doc_id").distinct(), "doc_id", "left_semi")
+    segments = wanted.select("doc_id", F.posexplode(F.split("text", "\n+")).alias("segment_no", "segment"))
+    return top.join(segments, "doc_id").withColumn("segment_no", F.col("segment_no").cast("bigint"))
+
+
 def _text(c):
     return F.array_join(c.cast("array<string>"), " ")
 
