@@ -9,9 +9,13 @@ from lexispark.plans.checkpoints import scratch_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labelled rows among them."""
+    """Documents that the quality classifier accepts; it learns from the labelled rows among them.
+
+    All columns stay as they are, whatever their names. Null and empty texts are
+    scored like texts without words; repeated rows are judged each.
+    """
     model = pu_quality.fit_on_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return pu_quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    return docs.filter(pu_quality.score_column(F.col("text"), model) >= 0.3)
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str, max_ratio: float = 0.01) -> DataFrame:
