@@ -69,7 +69,7 @@ def split_words(spark, sf):
 
 @query("piece_vocabulary", f"SELECT CAST(id AS BIGINT) AS id, token, source, language, frequency FROM {_VOCAB}")
 def piece_vocabulary(spark, sf):
-    return vocab.piece_vocabulary(split_words(spark, sf), docs_per_block=256)
+    return vocab.piece_vocabulary(split_words(spark, sf))
 
 
 @query(

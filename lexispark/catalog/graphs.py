@@ -214,6 +214,20 @@ def graph_integer_ids(spark, sf):
     return gr.integer_graph(nodes(spark, sf), edges(spark, sf))
 
 
+_LABEL_IDS = f"""(SELECT label, row_number() OVER (ORDER BY md5(label), label) - 1 AS label_id
+    FROM (SELECT DISTINCT first_label AS label FROM {_NODES}))"""
+
+
+@query(
+    "graph_node_labels",
+    f"""SELECT id, label_id, first_label AS label FROM {_NODES} n JOIN {_IDS} i ON i.node = n.node
+    JOIN {_LABEL_IDS} l ON l.label = n.first_label""",
+)
+def graph_node_labels(spark, sf):
+    told, labels = gr.integer_labels(cut_lineage(nodes(spark, sf)))
+    return told.join(labels, "label_id")
+
+
 @query(
     "merge_node_features",
     f"""

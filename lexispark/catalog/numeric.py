@@ -778,12 +778,12 @@ def join_multilingual(spark, sf):
     """,
 )
 def join_by_position(spark, sf):
-    from lexispark.plans.blocked import row_numbers
+    from lexispark.plans.numbering import number_rows
 
     texts = table(spark, sf, "documents").select("doc_id", "lang")
     labels = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("item"))
-    a = row_numbers(texts, [], ["doc_id"], F.floor(F.col("doc_id") / 100_000), "pos").drop("doc_id")
-    b = row_numbers(labels, [], ["vec_id"], F.floor(F.col("vec_id") / 100_000), "pos").drop("vec_id")
+    a = number_rows(texts, [], ["doc_id"], "pos").drop("doc_id")
+    b = number_rows(labels, [], ["vec_id"], "pos").drop("vec_id")
     return a.join(b, "pos")
 
 

@@ -6,11 +6,14 @@ A tree table has one row per sentence: key columns and the parallel arrays
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexispark.functions.draws import draw
 from lexispark.plans.blocked import row_numbers
-from lexispark.plans.checkpoints import cut_lineage
+from lexispark.plans.checkpoints import cut_lineage, scratch_path
+from lexispark.plans.numbering import number_rows
 
 
 def tokens_of(trees: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,25 +91,80 @@ def in_degree(nodes: DataFrame, edges: DataFrame, n_nodes: int) -> DataFrame:
     )
 
 
-def _laid_out(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``names`` (node, id), nodes by id with their out-degree, and collapsed edges by source id.
+#: Out-edges of a node that are kept together; those of a hub are cut into so many pieces.
+PIECE_EDGES = 100_000
+#: Rounds from one checkpoint of the state to the next.
+CHECKPOINT_ROUNDS = 5
+
 
-    Nodes and edges are stored once in the layout of the rounds. A checkpoint
-    keeps it, so that a round shuffles only the messages, keyed by numbers.
+class _Rounds:
+    """The collapsed edges in a bucketed table and the state of the nodes, for iterations that send along edges.
+
+    Edges lie in buckets by (source, piece), where the pieces of a node's
+    out-edges are drawn by target: a hub's edges are in many buckets. A round
+    sends the messages to the buckets, adds up what arrives by target, and meets
+    the old state in the same aggregate; the edges stay where they are.
     """
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = cut_lineage(integer_ids(nodes, "node"))
-    named = lambda side: names.select(F.col("node").alias(side), F.col("id").alias(f"{side}_id"))
-    flat = collapse(edges).join(named("src"), "src").join(named("dst"), "dst").select("src_id", "dst_id")
-    flat = cut_lineage(flat.repartition(n, "src_id"))
-    degree = flat.groupBy(F.col("src_id").alias("id")).agg(F.count("*").alias("out"))
-    state = names.select("id").repartition(n, "id").join(degree, "id", "left").select("id", F.coalesce("out", F.lit(0)).alias("out"))
-    return names, cut_lineage(state), flat
 
+    def __init__(self, nodes: DataFrame, edges: DataFrame):
+        self.spark = nodes.sparkSession
+        self.names = cut_lineage(integer_ids(nodes, "node"))
+        named = lambda side: self.names.select(F.col("node").alias(side), F.col("id").alias(f"{side}_id"))
+        flat = cut_lineage(
+            collapse(edges).join(named("src"), "src").join(named("dst"), "dst").select("src_id", "dst_id")
+        )
+        degree = flat.groupBy("src_id").agg(F.count("*").alias("out")).withColumn(
+            "pieces", F.ceil(F.col("out") / PIECE_EDGES).cast("int")
+        )
+        piece = F.pmod(F.xxhash64("dst_id"), F.col("pieces")).cast("int")
+        placed = flat.join(degree, "src_id").select("src_id", piece.alias("piece"), "dst_id")
+        self.table = f"edges_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # One task a bucket writes one file of it.
+        placed.repartition(buckets, "src_id", "piece").write.bucketBy(buckets, "src_id", "piece").sortBy(
+            "src_id", "piece"
+        ).option("path", scratch_path(self.spark, "graph-edges")).saveAsTable(self.table)
+        known = self.names.select("id").join(degree.withColumnRenamed("src_id", "id"), "id", "left")
+        self.state = cut_lineage(known.select("id", F.coalesce("out", F.lit(0)).alias("out"), F.coalesce("pieces", F.lit(0)).alias("pieces")))
+        self.n = self.state.count()
+        self.held: DataFrame | None = None
+        self.round = 0
+
+    def received(self, state: DataFrame, message: Column, kept: list[str]) -> DataFrame:
+        """``id``, ``out``, ``pieces``, the columns ``kept`` and ``m``, the sum of what came in (0 if nothing)."""
+        piece = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")
+        sent = state.filter("pieces > 0").select(F.col("id").alias("src_id"), message.alias("m"), piece)
+        old = ["out", "pieces", *kept]
+        types = {c: state.schema[c].dataType for c in old}
+        came = self.spark.table(self.table).join(sent, ["src_id", "piece"]).select(
+            F.col("dst_id").alias("id"), "m", *[F.lit(None).cast(types[c]).alias(c) for c in old]
+        )
+        here = state.select("id", F.lit(None).cast("double").alias("m"), *old)
+        return came.union(here).groupBy("id").agg(
+            F.coalesce(F.sum("m"), F.lit(0.0)).alias("m"), *[F.max(c).alias(c) for c in old]
+        )
 
-def _received(edges: DataFrame, state: DataFrame, message: Column) -> DataFrame:
-    sent = state.select(F.col("id").alias("src_id"), message.alias("m"))
-    return edges.join(sent, "src_id").groupBy(F.col("dst_id").alias("id")).agg(F.sum("m").alias("m"))
+    def keep(self, state: DataFrame, *totals: Column):
+        """Hold the state of a round and return it with its totals: one job; lineage is cut every few rounds."""
+        self.round += 1
+        if self.round % CHECKPOINT_ROUNDS == 0:
+            state = cut_lineage(state)
+            held = None
+        else:
+            state = held = state.persist()
+        found = state.agg(*totals).first()
+        if self.held is not None:
+            self.held.unpersist()
+        self.held = held
+        return state, found
+
+    def close(self, state: DataFrame) -> DataFrame:
+        """The nodes by name with the last state, which needs neither the table nor the held rounds any more."""
+        last = cut_lineage(state)
+        if self.held is not None:
+            self.held.unpersist()
+        self.spark.sql(f"DROP TABLE {self.table}")
+        return self.names.join(last, "id")
 
 
 def pagerank(
@@ -120,58 +178,70 @@ def pagerank(
     """``node, rank``; the rank of nodes without out-edges spreads evenly.
 
     Rounds end when ranks move by less than ``tolerance`` per node in all. Ranks
-    sum to 1, or to the number of nodes if ``scaled``. So the even share follows from the sum of the messages: one
-    number per round comes to the driver.
+    sum to 1, or to the number of nodes if ``scaled``. One row of totals a round
+    comes to the driver: how far ranks moved, and what the next round will send.
     """
-    names, state, flat = _laid_out(nodes, edges)
-    n = state.count()
-    state = state.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(iterations):
-        got = _received(flat, state.filter("out > 0"), F.col("rank") / F.col("out"))
-        joined = cut_lineage(
-            state.join(got, "id", "left").select(
-                "id", "out", F.col("rank").alias("old"), F.coalesce("m", F.lit(0.0)).alias("m")
-            )
+    rounds = _Rounds(nodes, edges)
+    n = rounds.n
+    moved = F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved")
+    sends = F.sum(F.when(F.col("out") > 0, F.col("rank")).otherwise(0.0)).alias("sends")
+    start = rounds.state.withColumn("rank", F.lit(1.0 / max(n, 1))).withColumn("old", F.lit(0.0))
+    state, told = rounds.keep(start, moved, sends)
+    for _ in range(iterations if n else 0):
+        even = (1.0 - damping * told["sends"]) / n
+        got = rounds.received(state, F.col("rank") / F.col("out"), ["rank"])
+        fresh = got.select(
+            "id", "out", "pieces", (F.col("m") * damping + even).alias("rank"), F.col("rank").alias("old")
         )
-        even = (1.0 - damping * joined.agg(F.sum("m")).first()[0]) / n
-        state = joined.select("id", "out", "old", (F.col("m") * damping + even).alias("rank"))
-        if tolerance is not None:
-            moved = state.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            if moved < n * tolerance:
-                break
-        state = state.drop("old")
-    return names.join(state, "id").select("node", (F.col("rank") * n if scaled else F.col("rank")).alias("rank"))
+        state, told = rounds.keep(fresh, moved, sends)
+        if tolerance is not None and told["moved"] < n * tolerance:
+            break
+    out = rounds.close(state)
+    return out.select("node", (F.col("rank") * n if scaled else F.col("rank")).alias("rank"))
 
 
 def eigenvector_centrality(
     nodes: DataFrame, edges: DataFrame, iterations: int = 100, tolerance: float | None = 1e-6
 ) -> DataFrame:
-    """``node, centrality``: power iteration over incoming edges, scaled to length 1 in every round."""
-    names, state, flat = _laid_out(nodes, edges)
-    n = state.count()
-    state = state.select("id", F.lit(1.0 / n).alias("x"))
-    for _ in range(iterations):
-        got = _received(flat, state, F.col("x"))
-        joined = cut_lineage(
-            state.join(got, "id", "left").select(
-                "id", F.col("x").alias("old"), (F.col("x") + F.coalesce("m", F.lit(0.0))).alias("y")
-            )
-        )
-        norm = joined.agg(F.sum(F.col("y") * F.col("y"))).first()[0] ** 0.5 or 1.0
-        state = joined.select("id", "old", (F.col("y") / norm).alias("x"))
-        if tolerance is not None:
-            moved = state.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0]
-            if moved < n * tolerance:
-                break
-        state = state.drop("old")
-    return names.join(state, "id").select("node", F.col("x").alias("centrality"))
+    """``node, centrality``: power iteration over incoming edges, scaled to length 1 in every round.
+
+    How far a round moved is known once its length is, so it comes with the totals of the next round.
+    """
+    rounds = _Rounds(nodes, edges)
+    n = rounds.n
+    length = F.sum(F.col("y") * F.col("y")).alias("length")
+    moved = F.sum(F.abs(F.col("x") - F.col("old"))).alias("moved")
+    state = rounds.state.select("id", "out", "pieces", F.lit(1.0 / max(n, 1)).alias("x"))
+    for k in range(iterations + 1 if n else 0):
+        # x is the scaled vector after k rounds, y the next one before it is scaled.
+        kept = ["x"] if k == 0 else ["x", "old"]
+        got = rounds.received(state, F.col("x"), kept)
+        old = F.lit(None).cast("double") if k == 0 else F.col("old")
+        fresh = got.select("id", "out", "pieces", (F.col("x") + F.col("m")).alias("y"), "x", old.alias("old"))
+        state, told = rounds.keep(fresh, length, moved)
+        if k == iterations or (k and tolerance is not None and told["moved"] < n * tolerance):
+            break
+        norm = told["length"] ** 0.5 or 1.0
+        state = state.select("id", "out", "pieces", (F.col("y") / norm).alias("x"), F.col("x").alias("old"))
+    return rounds.close(state.select("id", "x")).select("node", F.col("x").alias("centrality"))
 
 
 def integer_ids(names: DataFrame, name: str, id_name: str = "id") -> DataFrame:
-    """Dense ids from 0 in digest order: every block of the numbering holds an even share of names."""
+    """Dense ids from 0 in digest order, numbered by ranges of digests."""
     keyed = names.select(name).distinct().withColumn("__h", F.md5(name))
-    block = F.conv(F.substring("__h", 1, 3), 16, 10).cast("bigint")
-    return row_numbers(keyed, [], ["__h", name], block, id_name, start=0).drop("__h")
+    return number_rows(keyed, [], ["__h", name], id_name, start=0).drop("__h")
+
+
+def integer_labels(nodes: DataFrame, label: str = "first_label") -> tuple[DataFrame, DataFrame]:
+    """Labels of nodes as numbers: (``id``, ``label_id`` of every node; ``label``, ``label_id`` of the dictionary).
+
+    Nodes and labels are numbered alike, by ``integer_ids``. A node without label has none (null).
+    """
+    ids = integer_ids(nodes, "node")
+    labels = integer_ids(nodes.select(F.col(label).alias("label")).filter("label IS NOT NULL"), "label", "label_id")
+    # A label stands for very many nodes; adaptive execution broadcasts the dictionary, which is as small as the label set.
+    told = nodes.select("node", F.col(label).alias("label")).join(labels, "label", "left")
+    return told.join(ids, "node").select("id", "label_id"), labels
 
 
 def integer_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:

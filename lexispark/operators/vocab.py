@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexispark.functions import pieces as pc
-from lexispark.plans.blocked import row_numbers
 from lexispark.plans.checkpoints import cut_lineage
+from lexispark.plans.numbering import number_rows
 from lexispark.plans.skew import salted_join
 
 # Special tokens, ids 0 to 4.
@@ -20,8 +20,8 @@ def term_vocabulary(
     """The terms in order of frequency: ``token, doc_freq, term_freq, id``; ties go by the term.
 
     Counting goes through (term, document) pairs, so no distinct set is built
-    for a term that occurs everywhere. Numbering goes by blocks of one frequency
-    and first letters. ``max_size`` keeps the most frequent terms only.
+    for a term that occurs everywhere. Numbering goes by ranges of that order.
+    ``max_size`` keeps the most frequent terms only.
     """
     found = (
         tokens.groupBy(token, doc_id)
@@ -29,10 +29,8 @@ def term_vocabulary(
         .groupBy(token)
         .agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("term_freq"))
         .filter(F.col("doc_freq") >= min_df)
-        .withColumn("__rarity", -F.col("term_freq"))
     )
-    block = F.struct(F.col("__rarity"), F.substring(token, 1, 2))
-    numbered = row_numbers(found, [], ["__rarity", token], block, "id", start=0).drop("__rarity")
+    numbered = number_rows(found, [], [F.desc("term_freq"), token], "id", start=0)
     return numbered if max_size is None else numbered.filter(F.col("id") < max_size)
 
 
@@ -61,7 +59,7 @@ def word_pieces(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     )
 
 
-def piece_vocabulary(pieces_of_words: DataFrame, docs_per_block: int = 1 << 16) -> DataFrame:
+def piece_vocabulary(pieces_of_words: DataFrame) -> DataFrame:
     """``id, token, source, language, frequency``: specials first, then pieces by first appearance."""
     spark = pieces_of_words.sparkSession
     seen = (
@@ -74,9 +72,7 @@ def piece_vocabulary(pieces_of_words: DataFrame, docs_per_block: int = 1 << 16)
         .select("token", "frequency", "f.doc", "f.word_no", "f.p", "f.language")
         .filter(~F.col("token").isin(SPECIALS))
     )
-    numbered = row_numbers(
-        seen, [], ["doc", "word_no", "p"], F.floor(F.col("doc") / docs_per_block), "id", start=len(SPECIALS)
-    )
+    numbered = number_rows(seen, [], ["doc", "word_no", "p"], "id", start=len(SPECIALS))
     source = F.when(F.col("language") == "eng", "sub").otherwise(F.col("language"))
     specials = spark.createDataFrame(
         [(i, s, "pad", "pad", 1) for i, s in enumerate(SPECIALS)],
@@ -85,11 +81,9 @@ def piece_vocabulary(pieces_of_words: DataFrame, docs_per_block: int = 1 << 16)
     return specials.unionByName(numbered.select("id", "token", source.alias("source"), "language", "frequency"))
 
 
-def prune_vocabulary(vocab: DataFrame, min_frequency: int, ids_per_block: int = 1 << 16) -> DataFrame:
+def prune_vocabulary(vocab: DataFrame, min_frequency: int) -> DataFrame:
     kept = vocab.filter((F.col("language") == "pad") | (F.col("frequency") >= min_frequency))
-    return row_numbers(
-        kept.withColumnRenamed("id", "old_id"), [], ["old_id"], F.floor(F.col("old_id") / ids_per_block), "id", start=0
-    ).drop("old_id")
+    return number_rows(kept.withColumnRenamed("id", "old_id"), [], ["old_id"], "id", start=0).drop("old_id")
 
 
 def word_ids(pieces_of_words: DataFrame, vocab: DataFrame) -> DataFrame:

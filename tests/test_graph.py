@@ -116,3 +116,38 @@ def test_chunk_scores_and_auc(spark):
     won = [1 if a > b else 0.5 if a == b else 0 for a, x in rows for b, y in rows if x == 1 and y == 0]
     df = spark.createDataFrame(rows, "score int, label int")
     assert mt.auc(df, "score", "label", F.floor(F.col("score") / 3)).first().auc == pytest.approx(sum(won) / len(won))
+
+
+def test_rounds_leave_the_edges_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(gr, "PIECE_EDGES", 10)
+    pairs = {("hub", f"n{i}") for i in range(60)} | {(f"n{i}", f"n{(i * 7 + 1) % 60}") for i in range(0, 60, 2)}
+    ns = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p})], "node string")
+    es = spark.createDataFrame([(a, b, "l") for a, b in sorted(pairs)], "src string, dst string, label string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rounds = gr._Rounds(ns, es)
+        state = rounds.state.withColumn("rank", F.lit(1.0))
+        got = rounds.received(state, F.col("rank") / F.col("out"), ["rank"])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # The messages and their sums move, the edges do not.
+        assert plan.count("Exchange hashpartitioning") == 2 and "Bucketed: true" in plan
+        assert rounds.state.agg(F.max("pieces")).first()[0] == 6
+        rounds.close(state)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    nodes_of = sorted({x for p in pairs for x in p})
+    rank, out = dict.fromkeys(nodes_of, 1 / len(nodes_of)), {a: sum(x == a for x, _ in pairs) for a in nodes_of}
+    for _ in range(100):
+        m = dict.fromkeys(nodes_of, 0.0)
+        for a, b in pairs:
+            m[b] += rank[a] / out[a]
+        even = (1 - 0.85 * sum(m.values())) / len(m)
+        fresh = {x: 0.85 * m[x] + even for x in m}
+        moved = sum(abs(fresh[x] - rank[x]) for x in m)
+        rank = fresh
+        if moved < len(m) * 1e-6:
+            break
+    found = {r.node: r["rank"] for r in gr.pagerank(ns, es).collect()}
+    assert found.keys() == rank.keys() and all(abs(found[x] - rank[x]) < 1e-12 for x in rank)
+    assert gr.pagerank(ns.limit(0), es.limit(0)).count() == 0 and gr.eigenvector_centrality(ns.limit(0), es.limit(0)).count() == 0
