@@ -9,10 +9,11 @@
 * **Stars.** A bucket of any size gives one candidate edge a member: that to its
   centre. Every candidate is confirmed on the full sets.
 * **Rounds.** A bucket whose members are not all connected by then stays open:
-  two members may be alike though one is unlike the centre. It gets another
-  centre, then its key is refined by neighbouring bands (8, 16, 32 bins), which
-  parts what only shares a passage and leaves together what is alike. All rounds
-  work on open buckets alone, with one edge a member again.
+  two members may be alike though one is unlike the centre. Its next centre comes
+  from the smallest component in it and meets the members of the others; then
+  the key is refined by neighbouring bands (8, then 16 bins), which parts what only
+  shares a passage and leaves together what is alike. All rounds work on open
+  buckets alone, with at most one edge a member again.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ SHINGLE = 4
 SIMILARITY = 80
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: Bands that make a key in each round over open buckets, and whether the heaviest member is the centre.
-ROUNDS = [(1, True), (1, False), (2, False), (4, False), (8, False)]
+#: Bands that make a key in each round over open buckets.
+ROUNDS = [1, 1, 2, 4]
+#: Edges up to this number are broadcast to the sets (some 20 bytes each); more are joined by a shuffle.
+BROADCAST_EDGES = 300_000
 #: Edges of a centre that meet its set in one task.
 STAR_EDGES = 256
 #: Texts are read in runs of about so many characters.
@@ -155,20 +158,34 @@ def bucket_keys(classes: DataFrame, width: int) -> DataFrame:
     return classes.select("c", "bands").mapInArrow(run, "key long, c long")
 
 
-def _stars(members: DataFrame, heaviest: bool) -> DataFrame:
-    """``x``, ``centre``: an edge from every member of a bucket to its centre."""
-    if heaviest:
-        # The member that meets most others over all buckets: as a rule what the others were copied from.
-        met = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key")
-        weights = met.groupBy("c").agg(F.sum("size").alias("weight"))
-        weighed = members.join(weights, "c")
-    else:
-        weighed = members.withColumn("weight", F.xxhash64("key", "c"))
+def _stars(members: DataFrame) -> DataFrame:
+    """``x``, ``centre``: an edge from every member of a bucket to its centre.
+
+    That is the member which meets most others over all buckets: as a rule what
+    the others were copied from, so a member has the same centre in most buckets.
+    """
+    met = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key")
+    weights = met.groupBy("c").agg(F.sum("size").alias("weight"))
+    weighed = members.join(weights, "c")
     centres = weighed.groupBy("key").agg(F.max(F.struct("weight", "c")).alias("best"))
     edges = members.join(centres.select("key", F.col("best.c").alias("centre")), "key")
     return edges.filter("c <> centre").select(F.col("c").alias("x"), "centre").distinct()
 
 
+def _later_stars(members: DataFrame, number: int) -> DataFrame:
+    """``x``, ``centre`` between the members of open buckets (``key``, ``c``, ``part``) and a centre from another part.
+
+    The centre belongs to the part with the fewest members. Centres are taken in
+    one order of all members, another one each round, so that buckets agree on them.
+    """
+    best = F.struct(F.xxhash64("c", F.lit(number)).alias("draw"), "c")
+    parts = members.groupBy("key", "part").agg(F.count("*").alias("n"), F.max(best).alias("best"))
+    least = parts.groupBy("key").agg(F.min(F.struct("n", "best.draw", F.col("best.c").alias("centre"), "part")).alias("m"))
+    centres = least.select("key", "m.centre", F.col("m.part").alias("own"))
+    edges = members.join(centres, "key").filter("part <> own")
+    return edges.select(F.col("c").alias("x"), "centre").distinct()
+
+
 def _token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``c``, ``tokens`` of the wanted classes (``c``, ``digest``), from the rows that have the id ``c`` and that set."""
     def run(batches):
@@ -198,21 +215,21 @@ def _token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _confirmed(edges: DataFrame, tokens: DataFrame, similarity: int) -> DataFrame:
     """``x``, ``centre`` of the edges whose full sets are alike. Centres with many edges are met in several tasks."""
     copies = edges.groupBy("centre").agg(F.ceil(F.count("*") / STAR_EDGES).cast("int").alias("copies"))
-    centres = tokens.join(copies, F.col("c") == F.col("centre")).select(
-        "centre", "copies", F.col("tokens").alias("other"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")
-    )
     salted = edges.join(copies, "centre").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("copies")).cast("int"))
-    both = salted.join(tokens.withColumnRenamed("c", "x"), "x").join(
-        centres.select("centre", "salt", "other"), ["centre", "salt"]
+    if edges.count() <= BROADCAST_EDGES:
+        copies, salted = F.broadcast(copies), F.broadcast(salted)
+    centres = tokens.join(copies, tokens["c"] == copies["centre"]).select(
+        "centre", F.col("tokens").alias("other"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")
     )
-    common = F.size(F.array_intersect("tokens", "other"))
+    met = tokens.join(salted, tokens["c"] == salted["x"]).select("x", "centre", "salt", "tokens")
+    both = met.join(centres, ["centre", "salt"]).withColumn("common", F.size(F.array_intersect("tokens", "other")))
     union = F.size("tokens") + F.size("other") - F.col("common")
-    return both.withColumn("common", common).filter(100 * F.col("common") >= similarity * union).select("x", "centre")
+    return both.filter(100 * F.col("common") >= similarity * union).select("x", "centre")
 
 
-def _in_several(members: DataFrame, component: Column) -> DataFrame:
-    """Members of the buckets that hold more than one component."""
-    still = members.groupBy("key").agg(F.min(component).alias("a"), F.max(component).alias("b")).filter("a <> b")
+def _in_several(members: DataFrame, part: Column) -> DataFrame:
+    """Members of the buckets that hold more than one ``part``."""
+    still = members.groupBy("key").agg(F.min(part).alias("a"), F.max(part).alias("b")).filter("a <> b")
     return members.join(still.select("key"), "key")
 
 
@@ -246,36 +263,46 @@ def near_duplicates(
     return full.select(*columns).union(own.select(*columns))
 
 
+def _parts(links: DataFrame) -> DataFrame:
+    """``node``, ``part``: a member of the same component, the same one for most of its members.
+
+    Every node goes to its neighbour with most links (or stays, if it has more),
+    and on to where that one goes. Components would merge more; what stays apart here is compared once more.
+    """
+    both = links.select(F.col("x").alias("u"), F.col("centre").alias("v"))
+    both = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    degrees = both.groupBy("u").agg(F.count("*").alias("n"))
+    ranked = both.join(degrees.select(F.col("u").alias("v"), "n"), "v").groupBy("u").agg(
+        F.max(F.struct("n", "v")).alias("best")
+    )
+    own = F.struct("n", F.col("u").alias("v"))
+    goes = ranked.join(degrees, "u").select("u", F.greatest("best", own)["v"].alias("to"))
+    onward = goes.select(F.col("u").alias("to"), F.col("to").alias("part"))
+    return goes.join(onward, "to").select(F.col("u").alias("node"), "part")
+
+
 def _components(rows: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
     """``node``, ``component`` of the classes that have a link."""
-    spark = rows.sparkSession
-    found = spark.createDataFrame([], "node long, component long")
-    compared, tokens, open_members, width = None, None, None, 0
-    for bands, heaviest in ROUNDS:
-        if bands != width:
-            # A refined bucket of a closed one is closed, so all keys of the open classes can be made anew.
-            left = classes if width == 0 else classes.join(open_members.select("c").distinct(), "c", "left_semi")
-            open_members = _in_several(bucket_keys(left, bands), F.col("c")).distinct()
-            width = bands
-        if tokens is not None:
-            named = open_members.join(found, open_members["c"] == found["node"], "left")
-            open_members = _in_several(
-                named.select("key", "c", F.coalesce("component", "c").alias("part")), F.col("part")
-            ).select("key", "c")
-        open_members = cut_lineage(open_members)
-        if open_members.isEmpty():
+    members = cut_lineage(_in_several(bucket_keys(classes, ROUNDS[0]), F.col("c")).distinct())
+    wanted = classes.join(members.select("c").distinct(), "c", "left_semi").select("c", "digest")
+    tokens = cut_lineage(_token_sets(rows, wanted))
+    compared = cut_lineage(_stars(members))
+    links = cut_lineage(_confirmed(compared, tokens, similarity))
+    for number, bands in enumerate(ROUNDS[1:], 1):
+        if bands != ROUNDS[number - 1]:
+            # A refined bucket of a closed one is closed, so the keys of all classes left can be made anew.
+            left = classes.join(members.select("c").distinct(), "c", "left_semi")
+            members = _in_several(bucket_keys(left, bands), F.col("c")).distinct()
+        found = _parts(links)
+        named = members.join(found, members["c"] == found["node"], "left")
+        named = named.select("key", "c", F.coalesce("part", "c").alias("part"))
+        members = cut_lineage(_in_several(named, F.col("part")))
+        if members.isEmpty():
             break
-        edges = _stars(open_members, heaviest)
-        if tokens is None:
-            wanted = classes.join(open_members.select("c").distinct(), "c", "left_semi").select("c", "digest")
-            tokens = cut_lineage(_token_sets(rows, wanted))
-        else:
-            edges = edges.join(compared, ["x", "centre"], "left_anti")
-        edges = cut_lineage(edges)
-        compared = edges if compared is None else compared.union(edges)
-        links = _confirmed(edges, tokens, similarity)
-        found = components(links.union(found.select("node", "component")), "x", "centre")
-    return found
+        edges = cut_lineage(_later_stars(members, number).join(compared, ["x", "centre"], "left_anti"))
+        compared = compared.union(edges)
+        links = links.union(cut_lineage(_confirmed(edges, tokens, similarity)))
+    return components(links, "x", "centre")
 
 
 @query("op13_minhash_groups")
