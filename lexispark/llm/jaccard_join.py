@@ -225,13 +225,13 @@ def _allowed(n_a: Column, n_b: Column) -> Column:
     return F.floor((n_a + n_b) / 19)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` for every row of ``docs``.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` for every row of ``docs``; with ``digests`` also that of its set.
 
     Null and empty texts have the empty set and are linked with nothing. Rows
     without id cannot be reached by a link: their component is that of rows with
-    the same set, null if there are none. Repeated ids keep a row each. Other
-    columns are not used.
+    the same set, null if there are none. Repeated ids keep a row each. Ids must
+    be numbers, or text that casts to them. Other columns are not used.
     """
     sets = cut_lineage(set_sizes(docs, doc_id, text))
     classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
     full = sets.filter("n > 0").join(named, "digest", "left")
     own = sets.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id"] + (["digest"] if digests else [])
     return full.select(*columns).union(own.select(*columns))
 
 
@@ -347,12 +347,23 @@ def _pairs_beside_pivots(compared: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without near duplicates: of each component the row of the smallest id stays.
 
-    Rows without id stay unless a row with an id has the same set; of rows that
-    repeat an id, those of the class that stays are kept.
+    Rows without id stay. Rows that repeat an id are told apart by their texts:
+    those of a class that stays are kept, all of them, the others go.
     """
-    told = near_duplicates(docs, doc_id, text)
-    gone = told.filter(F.col("component_id").isNotNull() & (F.col("doc_id") != F.col("component_id")))
-    return docs.join(gone.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti").select(*docs.columns)
+    told = near_duplicates(docs, doc_id, text, digests=True)
+    goes = F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))
+    marked = told.select("doc_id", "digest", goes.alias("goes"))
+    ids = marked.groupBy(F.col("doc_id").alias("__id")).agg(F.min("goes").alias("__all"), F.max("goes").alias("__any"))
+    met = docs.join(ids.filter("__any"), docs[doc_id].cast("long") == F.col("__id"), "left")
+    kept = met.filter("__id IS NULL").select(*docs.columns)
+    # Ids of which some rows go and some stay: only these need the digests of their texts.
+    some = met.filter("NOT __all").withColumn("__digest", F.arrow_udf(_digests, "binary")(F.col(text)))
+    gone = marked.filter("goes").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    return kept.union(some.join(gone, ["__id", "__digest"], "left_anti").select(*docs.columns))
+
+
+def _digests(texts: pa.Array) -> pa.Array:
+    return pa.array([set_digest(shingles(t.as_py())) for t in texts], pa.binary())
 
 
 @query("op5_jaccard_join")

@@ -197,6 +197,14 @@ def test_join_edge_rows(spark, make_docs):
     assert sorted(str(r.doc_id) for r in jaccard_join.one_of_each(docs).collect()) == ["3", "9", "None", "None"]
 
 
+def test_repeated_ids_are_told_apart_by_text(spark, make_docs):
+    rng = random.Random(18)
+    a, b = (" ".join(prose(rng, 40)) for _ in range(2))
+    docs = make_docs([(5, a), (3, b), (5, b), (5, a), (6, b + " end")])
+    got = sorted((r.doc_id, r.text == a) for r in jaccard_join.one_of_each(docs).collect())
+    assert got == [(3, False), (5, True), (5, True)]
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]
