@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexispark.llm.registry import let, query, table
+from lexispark.plans.checkpoints import scratch_path
 
 #: A line is boilerplate if more than this share of its host's pages hold it, and at least so many pages.
 MAX_RATIO, LEAST_PAGES = 0.2, 4
@@ -17,22 +18,27 @@ def _lines(text: Column) -> Column:
 
 
 def _digest(line: Column) -> Column:
-    return F.unhex(F.md5(line))
+    """128 bits that stand for a line: two hashes of different seeds."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
 def _least_shingles(text: Column) -> tuple[Column, Column]:
-    """Two min-hashes of the text's runs of three words; fewer words make one run. Near copies have nearly always one in common."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+")
+    """Two min-hashes of the text's runs of three words; fewer words make one run. Near copies have nearly always one in common.
+
+    Runs are made of hashes of words, so no run is ever a text.
+    """
+    words = F.transform(
+        F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)
+    )
 
     def least(w: Column) -> Column:
         n = F.size(w) - 2
-        runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat_ws(" ", F.slice(w, i, 3)))
-        runs = F.when(n < 1, F.array(F.concat_ws(" ", w))).otherwise(runs)
-        both = lambda r: F.struct(
-            F.array_min(F.transform(r, lambda x: F.xxhash64(x))).alias("a"),
-            F.array_min(F.transform(r, lambda x: F.xxhash64(x, F.lit(1)))).alias("b"),
-        )
-        return let(runs, both)
+
+        def lowest(seed: int) -> Column:
+            run = lambda i: F.xxhash64(F.lit(seed), F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+            return F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), run))
+
+        return F.struct(lowest(0).alias("a"), lowest(1).alias("b"))
 
     found = let(words, least)
     return found["a"], found["b"]
@@ -182,4 +188,8 @@ def site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(
         "page_id", host_of(F.col("url")).alias("host"), visible_lines(F.col("html")).alias("text")
     )
+    # The lines are read three times; they are taken out of the pages once.
+    path = scratch_path(spark, "visible-lines")
+    pages.write.parquet(path)
+    pages = spark.read.parquet(path)
     return drop_boilerplate(pages, F.col("host")).select("page_id", "host", "n_lines", "n_dropped", "text")
