@@ -8,9 +8,9 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexispark.llm.pieces import groups_of
 from lexispark.llm.registry import fold_of, query, table
 
 #: Most rows of each sample (positives, unlabelled) that a model is fitted on.
@@ -109,12 +109,37 @@ def fit_arrays(p: np.ndarray, u: np.ndarray, steps: int = 400) -> PuModel:
     return PuModel(mean, scale, w, b, prior)
 
 
-def _feature_rows(docs: DataFrame, extra: list[str], id_col: str, text: str) -> DataFrame:
+#: Texts are unpacked from a batch in runs of about so many bytes.
+RUN_BYTES = 2_000_000
+
+
+def _feature_runs(texts: pa.Array):
+    """Feature rows of a batch column, a run of texts at a time: a batch may hold many long ones."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        held = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, held + RUN_BYTES)))
+        yield [features(t or "") for t in texts.slice(begin, end - begin).to_pylist()]
+        begin = end
+
+
+def score_column(text: Column, model: PuModel) -> Column:
+    """The score of a text; only the texts go to Python, and only scores come back."""
+    def run(texts: pa.Array) -> pa.Array:
+        runs = [model.score(np.array(x)) for x in _feature_runs(texts)]
+        return pa.array(np.concatenate([*runs, np.zeros(0)]))
+
+    return F.arrow_udf(run, "double")(text)
+
+
+def _feature_rows(docs: DataFrame, extra: list[str], text: str) -> DataFrame:
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            rows = pa.array([features(t or "") for t in texts], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([rows, *batch.columns[1:]], names=["x", *extra])
+            rows = [x for part in _feature_runs(batch.column(0)) for x in part]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.list_(pa.float64())), *batch.columns[1:]], names=["x", *extra]
+            )
 
     types = ", ".join(f"`{c}` boolean" for c in extra)
     return docs.select(text, *extra).mapInArrow(run, f"x array<double>, {types}")
@@ -140,7 +165,7 @@ def fit(
     chosen = sample(positives, "is_p").join(sample(unlabelled, "is_u"), id_col, "full")
     # At most 2 * sample_rows ids: a proven bound for the broadcast.
     picked = docs.select(id_col, text).join(F.broadcast(chosen), id_col)
-    rows = _feature_rows(picked, ["is_p", "is_u"], id_col, text).collect()
+    rows = _feature_rows(picked, ["is_p", "is_u"], text).collect()
     take = lambda flag: np.array([r.x for r in rows if r[flag]]).reshape(-1, _N_FEATURES)
     return fit_arrays(take("is_p"), take("is_u"))
 
@@ -148,25 +173,13 @@ def fit(
 def score(docs: DataFrame, model: PuModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """Add ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold) to every row, also to null and empty texts.
 
-    A text without words has all features 0. Columns of these two names are replaced.
+    A text without words has all features 0. Columns of these two names are
+    replaced; ``score_column`` leaves all columns as they are. Repeated rows are
+    scored each, a table without rows has no scores.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(kept.index(text)).to_pylist()
-            for a, b in groups_of(texts):
-                x = np.array([features(t or "") for t in texts[a:b]])
-                s = model.score(x)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(a, b - a).columns, pa.array(s), pa.array((s >= threshold).astype("int32"))],
-                    names=[*kept, "score", "predicted"],
-                )
-
-    schema = ", ".join(
-        [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["score double", "predicted int"]
-    )
-    return docs.select(*kept).mapInArrow(run, schema)
+    scored = docs.select(*kept, score_column(F.col(text), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, folds: int = 5) -> PuModel:
