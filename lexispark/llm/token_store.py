@@ -188,10 +188,10 @@ def write(
                 keys.append(ids.fill_null(0).to_numpy(zero_copy_only=False))
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 for a, b in groups_of(texts):
-                    coded = [x + end for x in coder.encode(texts[a:b])]
-                    lengths.extend(len(x) // 4 for x in coded)
-                    raw = np.frombuffer(b"".join(coded), "<u4")
-                    out.write(raw.astype(f"<u{width}").tobytes())
+                    coded = coder.encode(texts[a:b])
+                    lengths.extend(len(x) // 4 + 1 for x in coded)
+                    raw = np.frombuffer(end.join([*coded, b""]), "<u4")
+                    out.write(raw if width == 4 else raw.astype("<u2"))
         if not lengths:
             filesystem.delete_file(f"{base}/{name}.ids")
             return
