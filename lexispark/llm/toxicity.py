@@ -24,8 +24,8 @@ BIN = 1e-4
 #: Share of telling tokens assumed inside a toxic passage; sets how fast a segment's score falls between them.
 SHARE_INSIDE = 0.08
 
-#: Lengths of the parts of a word that count as tokens beside the word itself; "^" and "$" mark its ends.
-PART_LENGTHS = (5, 6)
+#: Parts of the sample; a text is judged by the log-odds of the other parts when the calibration is fitted.
+FOLDS = 4
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -34,12 +34,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def tokens_of(word: str) -> set[str]:
-    """The word and its parts, so that unseen forms of a telling stem are known too."""
-    marked = f"^{word}$"
-    return {marked} | {marked[i : i + n] for n in PART_LENGTHS for i in range(len(marked) - n + 1)}
-
-
 def token_id(token: str) -> int:
     """Signed 64-bit hash of a token."""
     h = xxhash.xxh3_64_intdigest(token)
@@ -86,18 +80,15 @@ class ToxicModel:
     seen: dict[str, float] = field(default_factory=dict, compare=False)
 
     def value(self, word: str) -> float:
-        """The log-odds farthest from 0 among the tokens of a word, less the gap; unknown tokens have 0."""
+        """The log-odds of a word, less the gap; an unknown word has 0."""
         known = self.seen.get(word)
         if known is None:
             if len(self.seen) > 500_000:
                 self.seen.clear()
-            best = 0.0
-            if len(self.tokens):
-                ids = np.array([token_id(t) for t in sorted(tokens_of(word))], np.int64)
-                at = np.minimum(np.searchsorted(self.tokens, ids), len(self.tokens) - 1)
-                odds = np.where(self.tokens[at] == ids, self.log_odds[at], 0.0)
-                best = float(odds[np.abs(odds).argmax()])
-            known = self.seen[word] = best - self.gap
+            name = token_id(word)
+            at = int(np.searchsorted(self.tokens, name))
+            found = at < len(self.tokens) and self.tokens[at] == name
+            known = self.seen[word] = (float(self.log_odds[at]) if found else 0.0) - self.gap
         return known
 
     def values(self, words: list[str]) -> list[float]:
@@ -159,7 +150,8 @@ def shrunk_log_odds(toxic: np.ndarray, other: np.ndarray, times: np.ndarray) ->
     The log-odds under the wide prior count with the probability of that prior,
     so rare tokens get little and none is left out.
     """
-    share = float((toxic * times).sum() / ((toxic + other) * times).sum())
+    held = float(((toxic + other) * times).sum())
+    share = float((toxic * times).sum()) / held if held else 0.0
     if not 0 < share < 1:
         return np.zeros(len(toxic))
     likelihood = lambda m: (
@@ -180,6 +172,12 @@ def shrunk_log_odds(toxic: np.ndarray, other: np.ndarray, times: np.ndarray) ->
     return tells * (np.log(toxic / (m * share) + 1) - np.log(other / (m * (1 - share)) + 1))
 
 
+def _odds_of(counts: np.ndarray) -> np.ndarray:
+    """Log-odds of tokens from their rows of toxic and other texts; equal counts are worked out once."""
+    pairs, which, times = np.unique(counts, axis=1, return_inverse=True, return_counts=True)
+    return shrunk_log_odds(*pairs, times)[which.ravel()]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Newton steps for P(y=1) = sigmoid(w x + c), with a weak prior on w and a start at the base rate."""
     z = np.column_stack([x, np.ones(len(x))])
@@ -200,9 +198,11 @@ def fit(
     """Learn from at most ``sample_rows`` rows of ``labels`` (``id_col``, ``toxic``); null ids and labels are left out.
 
     A token counts once per text, and a text once however often it is copied:
-    word counts of looping or copied texts would drown what is rare.
-    Half of the texts (by a hash) give the log-odds, the other half the
-    calibration. Without any toxic text nothing is toxic.
+    word counts of looping or copied texts would drown what is rare. The
+    log-odds come from all texts. The calibration sees every text through the
+    log-odds of the texts outside its fold (by a hash), so it is never shown a
+    text that its tokens were learnt from. Without any toxic text nothing is
+    toxic. An id that stands for several texts labels each of them.
     """
     known = labels.select(id_col, F.col("toxic").cast("int").alias("toxic")).dropna()
     chosen = (
@@ -217,43 +217,44 @@ def fit(
         .join(F.broadcast(chosen), id_col)
         .groupBy(F.md5(F.coalesce(text, F.lit(""))).alias("digest"))
         .agg(F.max("toxic").alias("toxic"), F.first(text).alias(text))
-        .withColumn("half", F.pmod(F.crc32("digest"), F.lit(2)).cast("int"))
+        .withColumn("fold", F.pmod(F.crc32("digest"), F.lit(FOLDS)).cast("int"))
+        .select(text, "toxic", "fold")
     )
+    sides = [(f, y) for f in range(FOLDS) for y in (1, 0)]
 
     def count(batches):
-        toxic, other = Counter(), Counter()
+        counts = {side: Counter() for side in sides}
         for batch in batches:
-            for t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                (toxic if y else other).update(map(token_id, set().union(*map(tokens_of, set(words_of(t))))))
-        found = list(toxic.keys() | other.keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.int64()), *(pa.array([c[w] for w in found], pa.int64()) for c in (toxic, other))],
-            names=["token", "toxic", "other"],
-        )
+            for t, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts[f, int(y > 0)].update(map(token_id, set(words_of(t))))
+        found = list(set().union(*counts.values()))
+        columns = [pa.array([counts[side][w] for w in found], pa.int64()) for side in sides]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *columns], names=["token", *names])
 
     # All tokens of the sample, in fixed width: they are in proportion to the sample, which is bounded.
+    names = [f"{'toxic' if y else 'other'}_{f}" for f, y in sides]
     counts = (
-        texts.filter("half = 0")
-        .select(text, "toxic")
-        .mapInArrow(count, "token long, toxic long, other long")
+        texts.mapInArrow(count, ", ".join(["token long", *(f"{c} long" for c in names)]))
         .groupBy("token")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+        .agg(*[F.sum(c).alias(c) for c in names])
         .toArrow()
     )
-    token, n_toxic, n_other = (counts[c].to_numpy().copy() for c in ("token", "toxic", "other"))
-    if not n_toxic.sum():
-        return ToxicModel(np.zeros(0, np.int64), np.zeros(0), 0.1, 1.0, 1.0, (0.0, 0.0, -6.0))
-    pairs, which, times = np.unique(np.stack([n_toxic, n_other]), axis=1, return_inverse=True, return_counts=True)
+    token = counts["token"].to_numpy()
     order = np.argsort(token)
-    token, odds = token[order], shrunk_log_odds(*pairs.astype(float), times)[which.ravel()][order]
+    token = token[order].copy()
+    by_fold = np.array([counts[c].to_numpy()[order] for c in names], float).reshape(FOLDS, 2, -1)
+    total = by_fold.sum(0)
+    if not total[0].sum():
+        return ToxicModel(np.zeros(0, np.int64), np.zeros(0), 0.1, 1.0, 1.0, (0.0, 0.0, -6.0))
+    odds = _odds_of(total)
     gap = -math.log(1 - SHARE_INSIDE)
-    draft = ToxicModel(token, odds, gap, 1.0, 1.0, (0.0, 0.0, 0.0))
+    drafts = [ToxicModel(token, _odds_of(total - x), gap, 1.0, 1.0, (0.0, 0.0, 0.0)) for x in by_fold]
 
     def parse(batches):
         for batch in batches:
             rows, bins = [], Counter()
-            for t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = words_of(t)
+            for t, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, draft = words_of(t), drafts[f]
                 if not y:
                     bins.update(round(v / BIN) for v in draft.values(words))
                 rows.append((y, len(words), [s[2] for s in draft.segments(words)], [], []))
@@ -266,12 +267,9 @@ def fit(
                 names=["toxic", "n", "found", "bins", "times"],
             )
 
-    rows = (
-        texts.filter("half = 1")
-        .select(text, "toxic")
-        .mapInArrow(parse, "toxic int, n long, found array<double>, bins array<long>, times array<long>")
-        .collect()
-    )
+    rows = texts.mapInArrow(
+        parse, "toxic int, n long, found array<double>, bins array<long>, times array<long>"
+    ).collect()
     harmless = [r for r in rows if not r.toxic and r.n]
     n = sum(r.n for r in harmless)
     bins = Counter()

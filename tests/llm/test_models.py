@@ -167,3 +167,88 @@ def test_rules_agree_with_labels(spark):
     got = weak_quality.quality_rules(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").toPandas()
     judged = got[~got.base_failed]
     assert (judged.kept == (judged.quality == 1)).mean() > 0.97
+
+
+def plain_shrinkage(tokens):
+    """Shrunk log-odds of (toxic, other) counts, a token at a time."""
+    import math
+
+    share = sum(a for a, _ in tokens) / sum(a + b for a, b in tokens)
+    if not 0 < share < 1:
+        return [0.0] * len(tokens)
+    beta = lambda x, y: math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y)
+
+    def likelihood(m):
+        return [beta(a + m * share, b + m * (1 - share)) - beta(m * share, m * (1 - share)) for a, b in tokens]
+
+    best = None
+    for dull in map(likelihood, toxicity.DULL_PRIORS):
+        for m in toxicity.TELLING_PRIORS:
+            telling, weight = likelihood(m), 0.01
+            for _ in range(40):
+                tells = [
+                    1 / (1 + math.exp(max(-500, min(500, x + math.log(1 - weight) - y - math.log(weight)))))
+                    for x, y in zip(dull, telling)
+                ]
+                weight = min(0.5, max(1e-6, sum(tells) / len(tells)))
+            both = [np.logaddexp(x + math.log(1 - weight), y + math.log(weight)) for x, y in zip(dull, telling)]
+            if best is None or sum(both) > best[0]:
+                best = sum(both), m, tells
+    _, m, tells = best
+    return [
+        t * (math.log(a / (m * share) + 1) - math.log(b / (m * (1 - share)) + 1)) for t, (a, b) in zip(tells, tokens)
+    ]
+
+
+def test_toxicity_fit_equals_plain_loops(spark):
+    import math
+    from hashlib import md5
+    from zlib import crc32
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    labelled = {r.doc_id: r.toxic for r in labels.collect()}
+    texts = {}
+    for r in docs.collect():
+        if labelled.get(r.doc_id) is not None:
+            digest = md5((r.text or "").encode()).hexdigest()
+            texts[digest] = (r.text, max(labelled[r.doc_id], texts.get(digest, (0, 0))[1]), crc32(digest.encode()) % toxicity.FOLDS)
+    texts = [(toxicity.words_of(t), y, f) for t, y, f in texts.values()]
+    assert sum(y for _, y, _ in texts) > 3
+
+    def odds(rows):
+        held = {}
+        for words, y, _ in rows:
+            for w in set(words):
+                a, b = held.get(w, (0, 0))
+                held[w] = (a + y, b + 1 - y)
+        every = {w: held.get(w, (0, 0)) for words, _, _ in texts for w in words}
+        return dict(zip(every, plain_shrinkage(list(every.values()))))
+
+    gap = -math.log(1 - toxicity.SHARE_INSIDE)
+    told, chances, harmless = [], [], []
+    for fold in range(toxicity.FOLDS):
+        known = odds([t for t in texts if t[2] != fold])
+        for words, y, f in texts:
+            if f == fold:
+                values = [known[w] - gap for w in words]
+                found = [s for _, _, s in toxicity.segments(range(len(words)), values, 0.0)]
+                told.append((y, len(words), found))
+                if not y and words:
+                    chances += [round(v / toxicity.BIN) * toxicity.BIN for v in values]
+                    harmless.append((len(words), max(found, default=0.0)))
+    model = toxicity.fit(docs, labels)
+    assert abs(sum(math.exp(model.decay * v) for v in chances) / len(chances) - 1) < 1e-6
+    factor = len(harmless) / sum(n * math.exp(-model.decay * s) for n, s in harmless)
+    assert abs(model.factor / factor - 1) < 1e-6
+    final = odds(texts)
+    assert all(abs(model.value(w) + gap - v) < 1e-9 for w, v in final.items())
+    # The weights are where the penalised likelihood has no slope.
+    slope, c = [0.0, 0.0, 0.0], model.weights
+    for y, n, found in told:
+        expect = sorted((model.decay * s - math.log(factor * max(1, n)) for s in found), reverse=True)
+        a = min(50.0, math.log1p(math.exp(expect[0])) + sum(max(0.0, x) for x in expect[1:])) if expect else 0.0
+        x = (a, 1.0 if expect else 0.0, 1.0)
+        p = 1 / (1 + math.exp(-sum(u * v for u, v in zip(x, c))))
+        slope = [s + (p - y) * u for s, u in zip(slope, x)]
+    assert all(abs(s + r * v) < 1e-3 for s, r, v in zip(slope, (0.05, 0.05, 1e-6), c))
