@@ -8,10 +8,14 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm.pieces import PieceEncoder, Vocabulary, groups_of
+from lexispark.llm.pieces import PieceEncoder, Vocabulary, text_runs
 from lexispark.llm.registry import query, table
 
 
+#: Bounds of what a worker holds beside the tables of the vocabulary, some 130 MB in all.
+TRIE_PIECES, TRIE_WORDS, LASTING_PAIRS = 250_000, 300_000, 250_000
+
+
 class TrieEncoder:
     """Encodings of distinct words, with the work for a shared prefix done once.
 
@@ -60,7 +64,7 @@ class TrieEncoder:
                 for a, a_until in self.right_border[left]
                 for b, b_until in self.left_border[right]
             )
-            if len(self.lasting) > 700_000:
+            if len(self.lasting) > LASTING_PAIRS:
                 self.lasting.clear()
             self.lasting[pair] = known
         return known
@@ -101,7 +105,7 @@ def encoder(path: str) -> PieceEncoder:
     """The worker's encoder: its tables and cache serve all tasks that the worker runs."""
     if path not in _encoders:
         vocabulary = Vocabulary(path)
-        _encoders[path] = PieceEncoder(vocabulary, TrieEncoder(vocabulary).encode_words)
+        _encoders[path] = PieceEncoder(vocabulary, TrieEncoder(vocabulary).encode_words, TRIE_PIECES, TRIE_WORDS)
     return _encoders[path]
 
 
@@ -120,14 +124,14 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> D
     def run(batches):
         coder = encoder(tokenizer_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(kept.index(text)).to_pylist()]
-            for a, b in groups_of(texts):
-                ids = coder.encode(texts[a:b])
+            for begin, texts in text_runs(batch.column(kept.index(text))):
+                ids = coder.encode(texts)
                 decoded = [coder.decode(i) for i in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(a, b - a).columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
+                    [*batch.slice(begin, len(texts)).columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
                     names=[*kept, "ids", "decoded"],
                 )
+        coder.forget()  # the worker may go on with tasks of other stages
 
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["ids binary", "decoded string"]
@@ -145,12 +149,11 @@ def digest_codes(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches):
         coder = encoder(tokenizer_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in groups_of(texts):
-                ids = coder.encode(texts[a:b])
+            for begin, texts in text_runs(batch.column(1)):
+                ids = coder.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a),
+                        batch.column(0).slice(begin, len(texts)),
                         pa.array([len(i) // 4 for i in ids], pa.int64()),
                         pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
                         pa.array(

@@ -14,6 +14,8 @@ import json
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Pre-tokens of byte-level BPE. Fixed value: it must equal the tokenizer's own pattern.
@@ -22,7 +24,7 @@ PATTERN = regex.compile(
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 
-#: Pieces and words held by a worker before that part of its cache starts anew.
+#: Pieces and words held by a worker before that part of its cache starts anew, unless an encoder has its own bounds.
 CACHE_PIECES, CACHE_WORDS = 500_000, 800_000
 
 
@@ -63,7 +65,14 @@ class PieceEncoder:
     ``encode_words`` takes distinct pre-tokens and returns the bytes of their ids.
     """
 
-    def __init__(self, vocabulary: Vocabulary, encode_words: Callable[[list[str]], list[bytes]]):
+    def __init__(
+        self,
+        vocabulary: Vocabulary,
+        encode_words: Callable[[list[str]], list[bytes]],
+        most_pieces: int = CACHE_PIECES,
+        most_words: int = CACHE_WORDS,
+    ):
+        self.most_pieces, self.most_words = most_pieces, most_words
         self.vocabulary = vocabulary
         self.encode_words = encode_words
         self.special = {s: i.to_bytes(4, "little") for s, i in vocabulary.special.items()}
@@ -100,10 +109,14 @@ class PieceEncoder:
                 out.append(self._by_pattern(text))
         return out
 
+    def forget(self) -> None:
+        """Give the cache's memory back; what is asked for again is encoded again."""
+        self.heads, self.tails, self.words = {}, {}, {}
+
     def _learn(self, split: list[list[str]]) -> None:
-        if len(self.heads) + len(self.tails) > CACHE_PIECES:
+        if len(self.heads) + len(self.tails) > self.most_pieces:
             self.heads, self.tails = {}, {}
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > self.most_words:
             self.words = {}
         new_heads = {p[0] for p in split}.difference(self.heads)
         new_tails = set().union(*(p[1:] for p in split)).difference(self.tails)
@@ -151,3 +164,14 @@ def groups_of(texts: list[str | None], most_chars: int = 4_000_000):
             start, held = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def text_runs(column: pa.Array, most_bytes: int = 1_500_000):
+    """(begin, texts) of a batch column, null texts as empty ones, so many bytes unpacked at once (a text alone may be longer)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(column):
+        held = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, held + most_bytes)))
+        yield begin, [t or "" for t in column.slice(begin, end - begin).to_pylist()]
+        begin = end

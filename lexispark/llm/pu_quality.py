@@ -8,9 +8,9 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lexispark.llm.pieces import text_runs
 from lexispark.llm.registry import fold_of, query, table
 
 #: Most rows of each sample (positives, unlabelled) that a model is fitted on.
@@ -109,25 +109,10 @@ def fit_arrays(p: np.ndarray, u: np.ndarray, steps: int = 400) -> PuModel:
     return PuModel(mean, scale, w, b, prior)
 
 
-#: Texts are unpacked from a batch in runs of about so many bytes.
-RUN_BYTES = 2_000_000
-
-
-def _feature_runs(texts: pa.Array):
-    """Feature rows of a batch column, a run of texts at a time: a batch may hold many long ones."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    begin = 0
-    while begin < len(texts):
-        held = ends[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, held + RUN_BYTES)))
-        yield [features(t or "") for t in texts.slice(begin, end - begin).to_pylist()]
-        begin = end
-
-
 def score_column(text: Column, model: PuModel) -> Column:
     """The score of a text; only the texts go to Python, and only scores come back."""
     def run(texts: pa.Array) -> pa.Array:
-        runs = [model.score(np.array(x)) for x in _feature_runs(texts)]
+        runs = [model.score(np.array([features(t) for t in part])) for _, part in text_runs(texts)]
         return pa.array(np.concatenate([*runs, np.zeros(0)]))
 
     return F.arrow_udf(run, "double")(text)
@@ -136,7 +121,7 @@ def score_column(text: Column, model: PuModel) -> Column:
 def _feature_rows(docs: DataFrame, extra: list[str], text: str) -> DataFrame:
     def run(batches):
         for batch in batches:
-            rows = [x for part in _feature_runs(batch.column(0)) for x in part]
+            rows = [features(t) for _, part in text_runs(batch.column(0)) for t in part]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.list_(pa.float64())), *batch.columns[1:]], names=["x", *extra]
             )
