@@ -8,7 +8,7 @@ from lexispark.catalog.dialogue import ACTS_SQL, _BIO_SQL, acts, bio, turns
 from lexispark.catalog.graphs import _TREES, trees
 from lexispark.catalog.numeric import _PRED_LABELS, weaker
 from lexispark.catalog.registry import query, table
-from lexispark.catalog.sqlparts import WSC, numbered, trim_sql, words_sql
+from lexispark.catalog.sqlparts import WSC, numbered, sentences_sql, trim_sql, words_sql
 from lexispark.functions import text as tx
 from lexispark.operators import corpus, crawl
 from lexispark.plans.checkpoints import scratch_path
@@ -29,6 +29,20 @@ def src_jsonl(spark, sf):
     return files.read_jsonl(spark, path, "doc_id bigint, lang string, text string", glob="*.json")
 
 
+@query(
+    "tokenize_job",
+    f"""SELECT doc_id, lang, array_to_string(list_transform({sentences_sql('text')},
+        lambda s: array_to_string({words_sql('s')}, ' ')), chr(10)) AS tokens FROM documents""",
+)
+def tokenize_job(spark, sf):
+    """From JSON files to JSON files: read, cut into sentences and words, write, and read what was written."""
+    source, out = scratch_path(spark, "raw-json"), scratch_path(spark, "tokenized-json")
+    docs(spark, sf, "lang", "text").write.json(source)
+    raw = files.read_jsonl(spark, source, "doc_id bigint, lang string, text string")
+    files.tokenize_to_json(raw, out, "text", ["doc_id", "lang"])
+    return files.read_jsonl(spark, out, "doc_id bigint, lang string, tokens string")
+
+
 @query("src_text_lines", rf"SELECT {ONE_LINE} AS line FROM documents")
 def src_text_lines(spark, sf):
     path = scratch_path(spark, "lines")

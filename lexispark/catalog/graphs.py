@@ -14,7 +14,7 @@ from lexispark.catalog.registry import query, table
 from lexispark.catalog.sqlparts import numbered, sentences_sql, words_sql
 from lexispark.functions import text as tx
 from lexispark.functions.draws import draw_sql
-from lexispark.operators import graph as gr, tokens as tk, transitions as tr
+from lexispark.operators import graph as gr, metrics as mt, tokens as tk, transitions as tr
 from lexispark.plans.checkpoints import cut_lineage
 
 KEYS = ["doc_id", "sent_no"]
@@ -334,6 +334,29 @@ def attachment_scores(spark, sf):
     return out.select("tokens", F.round("uas", 6).alias("uas"), F.round("las", 6).alias("las"))
 
 
+def _joint_sql(source: str) -> str:
+    offsets = "list_transform(heads, lambda h, i: 1000000 + h - i)"
+    names = "list_transform(labels, lambda x: CAST(ascii(x) * 10 + length(x) AS BIGINT))"
+    return f"(SELECT doc_id, sent_no, {offsets} AS o, {names} AS l FROM {source})"
+
+
+@query(
+    "joint_scores",
+    f"""
+    SELECT count(*) AS tokens, round(avg(CASE WHEN o = po AND l = pl THEN 1 ELSE 0 END), 6) AS joint FROM (
+        SELECT unnest(g.o) AS o, unnest(g.l) AS l, unnest(p.o) AS po, unnest(p.l) AS pl
+        FROM {_joint_sql(_TREES)} g JOIN {_joint_sql(_PRED)} p ON g.doc_id = p.doc_id AND g.sent_no = p.sent_no)
+    """,
+)
+def joint_scores(spark, sf):
+    """Offsets of heads (from 1000000, so that 0 is padding) and labels as numbers, in one sequence a sentence."""
+    offsets = F.transform("heads", lambda h, i: F.lit(1000000) + h - (i + 1))
+    names = F.transform("labels", lambda x: F.ascii(x) * 10 + F.length(x))
+    sequences = lambda reach, name: trees(spark, sf, reach=reach).select(*KEYS, F.concat(offsets, names).alias(name))
+    both = sequences(3, "gold").join(sequences(1, "pred"), KEYS)
+    return mt.joint_scores(both, "gold", "pred").withColumn("joint", F.round("joint", 6))
+
+
 @query("transition_contexts")
 def transition_contexts(spark, sf):
     return tr.transition_contexts(trees(spark, sf), KEYS, "standard")

@@ -610,6 +610,25 @@ def multilabel_metrics(spark, sf):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+@query(
+    "regression_scores",
+    """
+    WITH t AS (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS y, 1500.0::DOUBLE * l_quantity AS p FROM lineitem)
+    SELECT l_returnflag, count(*) AS n, round(avg(abs(y - p)), 3) AS mae, round(avg((y - p) * (y - p)) / 1000, 3) AS mse,
+        round(sqrt(avg((y - p) * (y - p))), 3) AS rmse, round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2
+    FROM t GROUP BY l_returnflag
+    """,
+)
+def regression_scores(spark, sf):
+    """Prices predicted from quantities alone."""
+    rows = table(spark, sf, "lineitem").withColumn("guess", 1500.0 * F.col("l_quantity"))
+    out = mt.regression_scores(rows, "l_extendedprice", "guess", ["l_returnflag"])
+    return out.select(
+        "l_returnflag", "n", F.round("mae", 3).alias("mae"), F.round(F.col("mse") / 1000, 3).alias("mse"),
+        F.round("rmse", 3).alias("rmse"), F.round("r2", 6).alias("r2"),
+    )
+
+
 @query(
     "multilabel_label_metrics",
     f"""

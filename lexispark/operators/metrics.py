@@ -170,3 +170,41 @@ def horizon_means(df: DataFrame, config: list[str], errors: str, horizon: int) -
     return df.groupBy(*config).agg(
         F.count("*").alias("n"), *[F.avg(F.get(errors, F.lit(j))).alias(f"h{j + 1}") for j in range(horizon)]
     )
+
+
+def regression_scores(df: DataFrame, label: str, prediction: str, keys: list[str] | None = None) -> DataFrame:
+    """``n``, ``mae``, ``mse``, ``rmse``, ``r2`` over all rows or by ``keys``, in one aggregate.
+
+    Rows in which either value is null do not count. R² is null where all labels
+    are equal. The variance is Spark's own, which adds up deviations and not squares.
+    """
+    y, gap = F.col(label).cast("double"), F.col(label).cast("double") - F.col(prediction).cast("double")
+    rows = df.filter(F.col(label).isNotNull() & F.col(prediction).isNotNull())
+    mse = F.avg(gap * gap)
+    return rows.groupBy(*(keys or [])).agg(
+        F.count("*").alias("n"), F.avg(F.abs(gap)).alias("mae"), mse.alias("mse"), F.sqrt(mse).alias("rmse"),
+        (1 - F.try_divide(mse, F.var_pop(y))).alias("r2"),
+    )
+
+
+def joint_scores(df: DataFrame, gold: str, pred: str) -> DataFrame:
+    """``tokens``, ``joint``: how many offsets and labels are both right.
+
+    A sequence holds its offsets in the first half and its labels in the second;
+    0 is padding in ``gold`` and does not count. Null sequences are left out, and
+    what ``pred`` lacks is wrong.
+    """
+    half = F.floor(F.size(gold) / 2).cast("int")
+    rows = df.filter(F.col(gold).isNotNull()).withColumn("__half", half)
+    told = F.transform(
+        F.sequence(F.lit(1), F.col("__half")),
+        lambda i: F.struct(
+            (F.get(gold, i - 1) > 0).alias("real"),
+            (
+                (F.get(gold, i - 1) == F.coalesce(F.get(pred, i - 1), F.lit(-1)))
+                & (F.get(gold, i - 1 + F.col("__half")) == F.coalesce(F.get(pred, i - 1 + F.col("__half")), F.lit(-1)))
+            ).alias("right"),
+        ),
+    )
+    tokens = rows.filter("__half > 0").select(F.inline(told)).filter("real")
+    return tokens.agg(F.count("*").alias("tokens"), F.avg(F.col("right").cast("int")).alias("joint"))

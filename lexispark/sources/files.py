@@ -27,6 +27,19 @@ def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFram
     )
 
 
+def tokenize_to_json(
+    df: DataFrame, out: str, column: str = "text", keep: list[str] | None = None, output: str = "tokens", files: int = 8
+) -> None:
+    """The corpus tokenization job: JSON files with one row per text, its sentences as lines of words between blanks.
+
+    ``keep`` names the columns that go along. Null texts stay null. Rows are dealt
+    over ``files`` files; an earlier result in ``out`` is replaced.
+    """
+    lines = F.transform(tx.sentences(F.col(column)), lambda s: F.array_join(tx.words(s), " "))
+    told = df.select(*(keep or []), F.array_join(lines, "\n").alias(output))
+    told.repartition(files).write.mode("overwrite").option("ignoreNullFields", False).json(out)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).text(path)
 

@@ -43,9 +43,19 @@ def good_articles(stream: DataFrame) -> DataFrame:
     return stream.transform(filter_articles, "content")
 
 
-def novel_articles(stream: DataFrame, late: str = "2 days") -> DataFrame:
-    """First article of every url; the watermark bounds the state, later rows than that are dropped."""
-    return stream.withWatermark("date", late).dropDuplicatesWithinWatermark(["url"])
+def novel_articles(stream: DataFrame, lifetime: str | None = None) -> DataFrame:
+    """First article of every url, over the whole stream and its restarts.
+
+    The urls seen are keyed state in the checkpoint, dealt over all tasks by url.
+    Without ``lifetime`` they are kept for good and no row is ever too late; at
+    that size use the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``), which holds state on disk.
+    With a ``lifetime`` a url is forgotten that long after its date, and rows that
+    are later than that are dropped.
+    """
+    if lifetime is None:
+        return stream.dropDuplicates(["url"])
+    return stream.withWatermark("date", lifetime).dropDuplicatesWithinWatermark(["url"])
 
 
 def run_to_parquet(stream: DataFrame, out: str, checkpoint: str) -> None:

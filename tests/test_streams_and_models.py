@@ -26,6 +26,25 @@ def test_stream_keeps_first_of_every_url_and_filters(spark):
     assert sorted(r.url for r in spark.read.parquet(out).collect()) == ["u1", "u4"]
 
 
+def test_urls_are_known_after_restarts_and_ten_days(spark):
+    source, out, mark = (scratch_path(spark, n) for n in ("feed", "kept", "mark"))
+    body, t = "x" * 600, dt.datetime(2024, 5, 1)
+    days = lambda n: t + dt.timedelta(days=n)
+    runs = [
+        [("u1", body, days(0)), ("u2", body, days(1))],
+        [("u1", body, days(10)), ("u3", body, days(10))],
+        [("u2", body, days(30)), ("u1", body, days(-20)), ("old", body, days(-20)), (None, body, days(30))],
+    ]
+    for rows in runs:
+        spark.createDataFrame(rows, articles.SCHEMA).write.mode("append").parquet(source)
+        stream = articles.novel_articles(articles.good_articles(articles.from_files(spark, source)))
+        articles.run_to_parquet(stream, out, mark)
+    kept = [(r.url, r.date) for r in spark.read.parquet(out).collect()]
+    assert sorted(kept, key=str) == sorted(
+        [("u1", days(0)), ("u2", days(1)), ("u3", days(10)), ("old", days(-20)), (None, days(30))], key=str
+    )
+
+
 def test_blank_line_files(spark):
     path = scratch_path(spark, "blank")
     spark.createDataFrame([("one\ntwo\n\n\n\nthree\n",)], "v string").coalesce(1).write.text(path)
