@@ -63,3 +63,10 @@ def test_null_keys_stay(spark):
     )
     key = lambda x: sorted(map(tuple, x.select(*want.columns).collect()), key=str)
     assert key(got) == key(want)
+
+
+def test_salted_copies_are_not_gathered_on_the_driver(rows, spark, tmp_path):
+    # A file far below the broadcast limit, copied sixteen times by the join.
+    spark.range(20000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("d")).write.parquet(str(tmp_path / "dim"))
+    joined = salted_join(rows, spark.read.parquet(str(tmp_path / "dim")), "k", ["p"], "left")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
