@@ -84,3 +84,13 @@ def test_topic_shares_sum_to_one(spark):
     # A document without a known term has no shares.
     assert sums.filter((F.abs(F.col("s") - 1) > 1e-6) & (F.col("s") > 0)).count() == 0
     assert sums.filter("s > 0").count() > 0.9 * sums.count()
+
+
+def test_word_vectors_are_learnt_on_every_core(spark):
+    from lexispark.operators import ml
+
+    rows = spark.createDataFrame([(f"w{i % 9} w{i % 5} w{i % 7}", "ab"[i % 2]) for i in range(300)], "text string, lang string")
+    parts = {s.getNumPartitions() for s in ml.mlp_classifier(rows, "text", "lang").getStages() if hasattr(s, "getNumPartitions")}
+    assert parts == {spark.sparkContext.defaultParallelism} != {1}
+    found = ml.word_embeddings(rows.selectExpr("split(text, ' ') AS tokens"), "tokens").collect()
+    assert {r.word for r in found} == {f"w{i}" for i in range(9)} and all(len(r.vector) == 32 for r in found)
