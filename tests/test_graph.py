@@ -151,3 +151,16 @@ def test_rounds_leave_the_edges_where_they_are(spark, monkeypatch):
     found = {r.node: r["rank"] for r in gr.pagerank(ns, es).collect()}
     assert found.keys() == rank.keys() and all(abs(found[x] - rank[x]) < 1e-12 for x in rank)
     assert gr.pagerank(ns.limit(0), es.limit(0)).count() == 0 and gr.eigenvector_centrality(ns.limit(0), es.limit(0)).count() == 0
+
+
+def test_walks_read_their_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(edge):
+        read.add(1)
+        return edge
+
+    pairs = [(i, (i * 7 + k) % 20) for i in range(20) for k in range(3)]
+    edges = spark.createDataFrame(spark.sparkContext.parallelize(pairs, 2).map(counted), "src_id long, dst_id long")
+    assert gr.random_walks(edges, walks=2, steps=3).count() == 20 * 2 * 3
+    assert read.value == len(pairs)
