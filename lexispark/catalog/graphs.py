@@ -30,9 +30,12 @@ _TAGS = [
 def trees(spark, sf, reach: int = 3):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     sentences = tk.split_sentences(docs).withColumn("sent_no", F.col("sent_no").cast("bigint"))
-    rows = sentences.select(*KEYS, tx.words(F.col("sentence")).alias("forms"))
-    n, m = F.size("forms"), F.floor((F.size("forms") + 1) / 2).cast("int")
-    spread = F.least(F.lit(reach), 1 + F.pmod(n, F.lit(3)))
+    n = F.size("forms")
+    # Numbers of a sentence are columns: written into the lambdas they would be worked out for every token.
+    rows = sentences.select(*KEYS, tx.words(F.col("sentence")).alias("forms")).withColumns(
+        {"m": F.floor((n + 1) / 2).cast("int"), "spread": F.least(F.lit(reach), 1 + F.pmod(n, F.lit(3)))}
+    )
+    m, spread = F.col("m"), F.col("spread")
 
     def tag(form):
         chain = None
@@ -133,7 +136,8 @@ def graph_neighbors(spark, sf):
     """,
 )
 def indegree_centrality(spark, sf):
-    ns = nodes(spark, sf)
+    # Read for their number and for their names: stored once.
+    ns = cut_lineage(nodes(spark, sf))
     return gr.in_degree(ns, edges(spark, sf), ns.count()).withColumn("centrality", F.round("centrality", 10))
 
 

@@ -164,3 +164,10 @@ def test_walks_read_their_edges_once(spark):
     edges = spark.createDataFrame(spark.sparkContext.parallelize(pairs, 2).map(counted), "src_id long, dst_id long")
     assert gr.random_walks(edges, walks=2, steps=3).count() == 20 * 2 * 3
     assert read.value == len(pairs)
+
+
+def test_indegree_reads_the_documents_once_after_its_nodes(spark):
+    from lexispark.catalog import QUERIES
+
+    plan = QUERIES["indegree_centrality"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
