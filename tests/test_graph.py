@@ -171,3 +171,29 @@ def test_indegree_reads_the_documents_once_after_its_nodes(spark):
 
     plan = QUERIES["indegree_centrality"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
+
+
+def test_tokens_and_steps_are_compiled(spark, trees):
+    """Values of a token are read after its sentence is exploded; a lambda over the arrays would be interpreted."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    named = trees.withColumnRenamed("id", "sent")
+    assert "lambda" not in plan(gr.corpus_edges(named))
+    assert "arrays_zip" not in plan(gr.corpus_nodes(named, ["sent"]))
+    contexts = plan(tr.transition_contexts(trees, ["id"]))
+    assert "namedlambdavariable" not in contexts.split("Generate explode")[0]
+
+
+def test_tags_equal_their_patterns(spark, monkeypatch):
+    from lexispark.catalog import graphs
+
+    words = ["ung", "ion", "tion", "xment", "ción.", "Nation", "a", "abc", "abcd", "é", "été", " ", "a\u0085", "abc ", "5th", "...", "{a", "Éa", "motion,"]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string")
+    monkeypatch.setattr(graphs, "table", lambda *a: docs)
+    for row in graphs.trees(spark, "").collect():
+        frame = spark.createDataFrame([(w,) for w in row.forms], "w string")
+        chain = None
+        for pattern, name in graphs._TAGS:
+            hit = F.col("w").rlike(pattern)
+            chain = F.when(hit, name) if chain is None else chain.when(hit, name)
+        want = {r.w: r.t for r in frame.select("w", chain.otherwise("VERB").alias("t")).collect()}
+        assert row.upos == [want[w] for w in row.forms]

@@ -184,3 +184,15 @@ def test_merges_against_brute_force(spark):
             merged[tuple(out)] = m
         table = merged
     assert got == want
+
+
+def test_ends_and_blanks_equal_their_patterns(spark):
+    texts = ["", " ", "\n", "\x01 a.\x02 ", "a\t\tb \n c", "  a  b ", "\x00\x00", "a ", "\x1f é\x0b", " a", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    ends, runs = r"^[\x00-\x20]+|[\x00-\x20]+$", r"[ \t\n\x0B\f\r]+"
+    same = F.col("a").eqNullSafe(F.col("b")) & F.col("c").eqNullSafe(F.col("d"))
+    got = rows.select(
+        tx.trim_ws(F.col("t")).alias("a"), F.regexp_replace("t", ends, "").alias("b"),
+        tx.single_spaces(F.col("t")).alias("c"), F.regexp_replace("t", runs, " ").alias("d"),
+    )
+    assert got.filter(~same).count() == 0
