@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import compute
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexispark.functions import pieces as pc
@@ -98,20 +101,54 @@ def word_ids(pieces_of_words: DataFrame, vocab: DataFrame) -> DataFrame:
     )
 
 
-def encode(df: DataFrame, ids_of_words: DataFrame, doc_id: str = "doc_id", col: str = "text") -> DataFrame:
-    """``doc_id, ids``: documents as piece ids; only words meet the table, with hot words spread.
+def encode(
+    df: DataFrame, ids_of_words: DataFrame, doc_id: str = "doc_id", col: str = "text", docs_per_block: int = 1 << 10
+) -> DataFrame:
+    """``doc_id, ids``: documents as piece ids, looked up in blocks of ``docs_per_block`` document numbers.
 
-    A document without words, also one without text, has no ids.
+    Only the distinct words of a block meet the table, and a block gets back the
+    words that it has. So a word moves once per block, not once per occurrence,
+    and a text moves once. A document without words, also one without text, has no ids.
     """
-    found = F.regexp_extract_all(F.col(col), F.lit(pc.WORD), F.lit(0))
-    rows = df.select(doc_id, F.posexplode_outer(found).alias("word_no", "word"))
-    known = F.struct("word_no", F.coalesce("ids", F.array(F.lit(UNK).cast("bigint"))).alias("ids"))
-    return (
-        salted_join(rows, ids_of_words, "word", [doc_id, "word_no"], "left")
-        .groupBy(doc_id)
-        .agg(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), known))).alias("x"))
-        .select(doc_id, F.flatten(F.col("x.ids")).alias("ids"))
-    )
+    block = F.floor(F.col(doc_id) / docs_per_block).alias("block")
+    found = F.regexp_extract_all("text", F.lit(pc.WORD), F.lit(0))
+    texts = df.select(block, F.col(doc_id).alias("doc"), F.col(col).alias("text"))
+    entries = texts.select("block", F.explode(F.array_distinct(found)).alias("word")).distinct()
+    named = entries.join(ids_of_words.select("word", F.col("ids").cast("array<bigint>").alias("ids")), "word")
+    named = named.select(F.col("block").alias("of_block"), "word", "ids")
+    # The words are taken out after the texts have moved.
+    rows = texts.repartition("block").select("block", "doc", F.coalesce(found, F.array().cast("array<string>")).alias("words"))
+    kind = df.schema[doc_id].dataType.simpleString()
+    coded = rows.groupBy("block").cogroup(named.groupBy("of_block")).applyInArrow(_encode_block, f"doc {kind}, ids array<bigint>")
+    return coded.withColumnRenamed("doc", doc_id)
+
+
+def _encode_block(rows: pa.Table, named: pa.Table) -> pa.Table:
+    """The words of a block's documents as ids; words that ``named`` lacks are UNK. Rows of one document become one."""
+    docs, words = (_whole(rows[c]) for c in ("doc", "words"))
+    ids = pa.concat_arrays([_whole(named["ids"]).cast(pa.list_(pa.int64())), pa.array([[UNK]], pa.list_(pa.int64()))])
+    at = compute.fill_null(compute.index_in(words.flatten(), value_set=_whole(named["word"])), len(ids) - 1)
+    ends = np.concatenate([[0], np.cumsum(compute.fill_null(compute.list_value_length(words), 0).to_numpy())])
+    of_words = ids.take(at)
+    if len(compute.unique(docs)) < len(docs):
+        return _merged(docs, ends, of_words)
+    begins = of_words.offsets.to_numpy()[ends]
+    return pa.table({"doc": docs, "ids": pa.ListArray.from_arrays(pa.array(begins, pa.int32()), of_words.values)})
+
+
+def _merged(docs: pa.Array, ends: np.ndarray, of_words: pa.ListArray) -> pa.Table:
+    """Rows with the same document number as one, word by word."""
+    numbered: dict = {}
+    for r, doc in enumerate(docs.to_pylist()):
+        pieces = of_words[ends[r] : ends[r + 1]].to_pylist()
+        numbered.setdefault(doc, []).extend(enumerate(pieces))
+    ids = [[i for _, pieces in sorted(found) for i in pieces] for found in numbered.values()]
+    return pa.table({"doc": pa.array(list(numbered), docs.type), "ids": pa.array(ids, pa.list_(pa.int64()))})
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    found = column.combine_chunks()
+    return found if isinstance(found, pa.Array) else pa.concat_arrays(found.chunks)
 
 
 def lookup(

@@ -97,3 +97,15 @@ def test_rounds_take_what_is_not_in_the_way():
     assert vocab.independent_merges([("a", "a", 9), ("b", "c", 8)], True) == [("a", "a", 9)]
     assert vocab.independent_merges([("a", "b", 9), ("b", "c", 9), ("d", "e", 9)], True) == [("a", "b", 9)]
     assert vocab.independent_merges(ranked[:3], False) == ranked[:1]
+
+
+def test_encode_moves_a_word_once_a_block(spark):
+    rows = [(1, "a b a"), (2, None), (3, ""), (2000, "b zz a"), (None, "a"), (7, "a"), (7, "b b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ids = spark.createDataFrame([("a", [5, 6]), ("b", [7])], "word string, ids array<bigint>")
+    out = vocab.encode(docs, ids)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salt" not in plan and "array_distinct" in plan and "Aggregate [block" in plan
+    got = {r.doc_id: r.ids for r in out.collect()}
+    assert got.pop(7) in ([5, 6, 7, 7], [7, 5, 6, 7])
+    assert got == {1: [5, 6, 7, 5, 6], 2: [], 3: [], 2000: [7, 1, 5, 6], None: [5, 6]}
