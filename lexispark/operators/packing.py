@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexispark.functions.draws import MODULUS, draw
+from lexispark.functions.draws import MODULUS, draw_from, draw_state, draws_along
 from lexispark.operators.vocab import BOS, EOS, MASK, PAD
 from lexispark.plans.blocked import running_sum
-from lexispark.plans.checkpoints import cut_lineage
+from lexispark.plans.checkpoints import stored
 
 
 def pack_sequences(
@@ -21,13 +21,13 @@ def pack_sequences(
 ) -> DataFrame:
     """``shard, seq_no, input_ids``: the ids of each shard in document order, cut every ``length`` ids.
 
-    The encoded documents are stored once in the checkpoint folder. Documents get
+    The encoded documents are stored once in the scratch folder. Documents get
     their offset by block-wise running sums; then every document is sliced at the
     cuts, so the shuffle moves one row per document and cut instead of one per
     token, and a group never holds more than ``length`` ids.
     """
     sized = df.select(shard.alias("shard"), doc_id, ids, F.size(ids).cast("bigint").alias("n")).filter("n > 0")
-    sized = cut_lineage(sized)
+    sized = stored(sized, "encoded")
     placed = running_sum(
         sized, ["shard"], [doc_id], F.floor(F.col(doc_id) / docs_per_block), F.col("n"), "off", inclusive=False
     )
@@ -123,23 +123,28 @@ def mask_tokens(
     chosen, 80 % become MASK, 10 % a random normal token, 10 % stay.
     """
     normal = vocab_size - 4  # every id but PAD, BOS, EOS and MASK
+    keys = [F.col(k) for k in key]
 
-    def one(x: Column, i: Column) -> Column:
-        parts = [*[F.col(k) for k in key], i]
-        chosen = (draw(seed, *parts) < int(share * MODULUS)) & ~x.isin(PAD, BOS, EOS)
-        kind = draw(seed + 1, *parts)
-        pick = draw(seed + 2, *parts) % F.lit(normal)
+    def one(c: Column, x: Column, i: Column) -> Column:
+        chosen = (F.get(c["draws"], i) < int(share * MODULUS)) & ~x.isin(PAD, BOS, EOS)
+        kind = draw_from(c["kind"], i)
+        pick = draw_from(c["pick"], i) % F.lit(normal)
         random_id = F.when(pick == 0, F.lit(1).cast("bigint")).otherwise(pick + 4)
-        shown = (
-            F.when(~chosen, x)
-            .when(kind < int(0.8 * MODULUS), F.lit(MASK).cast("bigint"))
+        hidden = (
+            F.when(kind < int(0.8 * MODULUS), F.lit(MASK).cast("bigint"))
             .when(kind < int(0.9 * MODULUS), random_id)
             .otherwise(x)
         )
-        return F.struct(shown.alias("id"), F.when(chosen, x).otherwise(F.lit(-100)).alias("label"))
+        pair = lambda shown, label: F.struct(shown.alias("id"), label.alias("label"))
+        return F.when(chosen, pair(hidden, x)).otherwise(pair(x, F.lit(-100).cast("bigint")))
+
+    # What a sequence's draws share is the variable of an outer lambda: worked out once, not once per token.
+    states = F.struct(*[draw_state(seed + k, *keys).alias(name) for k, name in enumerate(("chosen", "kind", "pick"))])
+    shared = F.transform(F.array(states), lambda s: F.struct(draws_along(F.col(ids), s["chosen"]).alias("draws"), s["kind"], s["pick"]))
+    masked = F.transform(shared, lambda c: F.transform(F.col(ids), lambda x, i: one(c, x, i)))[0]
 
     return (
-        df.withColumn("__m", F.transform(ids, one))
+        df.withColumn("__m", masked)
         .withColumn("masked_ids", F.col("__m.id"))
         .withColumn("labels", F.col("__m.label"))
         .withColumn("attention_mask", F.transform("masked_ids", lambda x: (x != PAD).cast("bigint")))
@@ -149,6 +154,7 @@ def mask_tokens(
 
 def keep_labels(labels: Column, key: list[Column], share: float, seed: int = 5) -> Column:
     """Keep each label with probability ``share``, else -1."""
-    return F.transform(
-        labels, lambda x, i: F.when(draw(seed, *key, i) <= int(share * MODULUS), x).otherwise(F.lit(-1))
+    kept = lambda s: F.zip_with(
+        labels, draws_along(labels, s), lambda x, d: F.when(d <= int(share * MODULUS), x).otherwise(F.lit(-1))
     )
+    return F.transform(F.array(draw_state(seed, *key)), kept)[0]

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexispark.functions import draws
 from lexispark.operators import packing
 
 
@@ -42,3 +43,20 @@ def test_keep_labels_share(spark):
     kept = spark.range(100).select(packing.keep_labels(F.array_repeat(F.lit(5), 100), [F.col("id")], 0.3).alias("x"))
     n = kept.select(F.explode("x").alias("x")).filter("x = 5").count()
     assert 2800 < n < 3200
+
+
+def test_draws_along_an_array_are_the_draws(spark):
+    rows = spark.createDataFrame([(3, 5, list(range(40))), (-1, 2**40, [9]), (0, 0, [])], "a bigint, b bigint, xs array<bigint>")
+    seeds = F.array(draws.draw_state(7, F.col("a"), F.col("b")))
+    out = rows.select(
+        F.transform(seeds, lambda s: draws.draws_along(F.col("xs"), s))[0].alias("along"),
+        F.transform(seeds, lambda s: F.transform("xs", lambda x, i: draws.draw_from(s, i)))[0].alias("single"),
+        F.transform("xs", lambda x, i: draws.draw(7, F.col("a"), F.col("b"), i)).alias("want"),
+    )
+    assert all(r.along == r.want == r.single for r in out.collect())
+
+
+def test_masks_work_out_what_a_sequence_shares_once(spark):
+    rows = spark.createDataFrame([(1, 2, [2, 7, 8, 3])], "a bigint, b bigint, input_ids array<bigint>")
+    plan = packing.mask_tokens(rows, ["a", "b"], 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("48271") < 45
