@@ -196,3 +196,33 @@ def test_ends_and_blanks_equal_their_patterns(spark):
         tx.single_spaces(F.col("t")).alias("c"), F.regexp_replace("t", runs, " ").alias("d"),
     )
     assert got.filter(~same).count() == 0
+
+
+def test_lexicon_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [[rng.choice(["a", "b", "ç", "dd"]) for _ in range(rng.randint(0, 12))] for _ in range(200)] + [list("uvwxyz")] * 5 + [None]
+    df = spark.createDataFrame([(r,) for r in rows], "syllables array<string>").repartition(3)
+    for sizes in [(2, 3, 4, 5, 6), (3, 5), (4,)]:
+        counts = {}
+        for r in rows:
+            for k in sizes:
+                for i in range(len(r or []) - k + 1):
+                    e = " ".join(r[i : i + k])
+                    counts[e] = counts.get(e, 0) + 1
+        got = [r.entry for r in sg.ngram_lexicon(df, "syllables", sizes, 5).collect()]
+        assert sorted(got) == sorted(e for e, n in counts.items() if n >= 5)
+
+
+def test_only_likely_entries_are_shuffled(spark):
+    """A sequence that is no entry does not reach a shuffle, and one that is gets there once a block."""
+    from functools import partial
+
+    rows = spark.createDataFrame([(["a", "b", "c"],), (["x", "a", "b"],)] * 50, "words array<string>")
+    lex = spark.createDataFrame([("a b",), ("a b c d",), ("q",)], "entry string")
+    told = rows.select("words", sg._hashed(F.col("words")).alias("hashes"), F.lit(7).cast("bigint").alias("block")).coalesce(1)
+    found = told.mapInArrow(partial(sg._block_candidates, longest=4, known=sg._sketch_of(lex, 4)), "entry string, block bigint")
+    assert [tuple(r) for r in found.collect()] == [("a b", 7)]
+    # Text keys, empty and missing rows.
+    df = spark.createDataFrame([("k", ["a", "b", "c"]), (None, []), ("n", None), ("m", ["c"])], "id string, syllables array<string>")
+    got = {r.id: (r.forward, r.backward) for r in sg.segment_longest_match(df, ["id"], "syllables", lex, 4).collect()}
+    assert got == {"k": (["a b", "c"], ["a b", "c"]), None: ([], []), "n": (None, None), "m": (["c"], ["c"])}
