@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.clustering import LDA
+from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.evaluation import (
     BinaryClassificationEvaluator,
     ClusteringEvaluator,
@@ -123,6 +126,49 @@ def multilabel(df: DataFrame, text: str, labels: list[str], test: DataFrame, wid
     return out.drop("features", "counts", "tokens")
 
 
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _digamma(x: np.ndarray) -> np.ndarray:
+    x, below = np.array(x, float), 0.0
+    for _ in range(8):
+        below, x = below + 1 / x, x + 1
+    y = 1 / (x * x)
+    return np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240))) - below
+
+
+def _bounds(batches, topics, alpha):
+    """The part of every document in the bound; ``topics`` holds exp(E[log beta]) by term and topic."""
+    for batch in batches:
+        terms, counts = (batch["features"].field(f) for f in ("indices", "values"))
+        doc = np.repeat(np.arange(len(batch)), np.diff(terms.offsets.to_numpy()))
+        at, n = terms.flatten().to_numpy(), counts.flatten().to_numpy()
+        total = np.bincount(doc, n, len(batch))
+        # What a document's posterior sums to is fixed by its length, so its shares tell the whole of it.
+        gamma = batch["shares"].flatten().to_numpy().reshape(len(batch), -1) * (alpha.sum() + total)[:, None]
+        gamma = np.where(total[:, None] > 0, gamma, 1.0)
+        theta = _digamma(gamma) - _digamma(gamma.sum(axis=1))[:, None]
+        likely = sum(np.exp(theta[doc, k]) * topics.value[at, k] for k in range(len(alpha)))
+        bound = np.bincount(doc, n * np.log(likely), len(batch)) + ((alpha - gamma) * theta + _lgamma(gamma) - _lgamma(alpha)).sum(axis=1)
+        bound += math.lgamma(alpha.sum()) - _lgamma(gamma.sum(axis=1))
+        yield pa.RecordBatch.from_pydict({"bound": bound[total > 0]})
+
+
+def _log_likelihood(model: LDAModel, shared: DataFrame, eta: float) -> float:
+    """The variational bound that ``LDAModel.logLikelihood`` gives, of documents with their topic shares.
+
+    The library works out the exponentials of all terms and topics anew for every document; here that is done once.
+    """
+    weights = model.topicsMatrix().toArray()
+    beta = _digamma(weights) - _digamma(weights.sum(axis=0))
+    of_topics = ((eta - weights) * beta + _lgamma(weights) - math.lgamma(eta)).sum()
+    of_topics += (math.lgamma(eta * len(weights)) - _lgamma(weights.sum(axis=0))).sum()
+    alpha = model.estimatedDocConcentration().toArray()
+    topics = shared.sparkSession.sparkContext.broadcast(np.exp(beta))
+    found = shared.mapInArrow(partial(_bounds, topics=topics, alpha=alpha), "bound double")
+    return float(found.agg(F.coalesce(F.sum("bound"), F.lit(0.0))).first()[0] + of_topics)
+
+
 def topic_model(df: DataFrame, doc_id: str, text: str, topics: int, max_iter: int = 20):
     """``(terms, mixture, log_likelihood)``: top terms per topic and the topic shares of every document."""
     prepare = Pipeline(
@@ -132,7 +178,8 @@ def topic_model(df: DataFrame, doc_id: str, text: str, topics: int, max_iter: in
         ]
     ).fit(df)
     rows = prepare.transform(df).select(doc_id, "features").cache()
-    model = LDA(k=topics, maxIter=max_iter, seed=1, featuresCol="features").fit(rows)
+    eta = 1.0 / topics  # the library's default
+    model = LDA(k=topics, maxIter=max_iter, seed=1, featuresCol="features", topicConcentration=eta).fit(rows)
     spark = df.sparkSession
     vocabulary = spark.createDataFrame(list(enumerate(prepare.stages[-1].vocabulary)), "term_id int, term string")
     described = model.describeTopics(10).select(
@@ -141,8 +188,8 @@ def topic_model(df: DataFrame, doc_id: str, text: str, topics: int, max_iter: in
     terms = described.select("topic", "rank", F.col("x.termIndices").alias("term_id"), F.col("x.termWeights").alias("weight")).join(
         vocabulary, "term_id"
     )
-    mixture = model.transform(rows).select(doc_id, vector_to_array("topicDistribution").alias("shares"))
-    return terms, mixture, model.logLikelihood(rows)
+    shared = model.transform(rows).select(doc_id, "features", vector_to_array("topicDistribution").alias("shares"))
+    return terms, shared.select(doc_id, "shares"), _log_likelihood(model, shared.select("features", "shares"), eta)
 
 
 def word_embeddings(df: DataFrame, tokens: str, size: int = 32, min_count: int = 5, max_iter: int = 1) -> DataFrame:

@@ -94,3 +94,19 @@ def test_word_vectors_are_learnt_on_every_core(spark):
     assert parts == {spark.sparkContext.defaultParallelism} != {1}
     found = ml.word_embeddings(rows.selectExpr("split(text, ' ') AS tokens"), "tokens").collect()
     assert {r.word for r in found} == {f"w{i}" for i in range(9)} and all(len(r.vector) == 32 for r in found)
+
+
+def test_topic_likelihood_is_the_library_bound(spark, monkeypatch):
+    """The library's own bound, which takes exponentials of the whole topic matrix per document, is not called."""
+    from pyspark.ml.clustering import LDAModel
+
+    from lexispark.operators import ml
+
+    rows = [(i, " ".join(f"term{(i * j + j * j) % (7 + i % 3 * 20)}" for j in range(i % 40))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    models, fit, bound = [], ml.LDA.fit, LDAModel.logLikelihood
+    monkeypatch.setattr(ml.LDA, "fit", lambda self, data: models.append((fit(self, data), data)) or models[-1][0])
+    monkeypatch.setattr(LDAModel, "logLikelihood", lambda *_: pytest.fail("called"))
+    _, _, got = ml.topic_model(df, "doc_id", "text", topics=3)
+    model, data = models[0]
+    assert got == pytest.approx(bound(model, data), rel=1e-4)
