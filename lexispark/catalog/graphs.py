@@ -7,6 +7,8 @@ its next neighbours towards the middle, chosen by its own length.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from lexispark.catalog.dialogue import _BIO_SQL, bio
@@ -14,71 +16,22 @@ from lexispark.catalog.registry import query, table
 from lexispark.catalog.sqlparts import numbered, sentences_sql, words_sql
 from lexispark.functions import text as tx
 from lexispark.functions.draws import draw_sql
+from lexispark.functions.rule_trees import OTHER, TAGS, grow
 from lexispark.operators import graph as gr, metrics as mt, tokens as tk, transitions as tr
 from lexispark.plans.checkpoints import cut_lineage
 
 KEYS = ["doc_id", "sent_no"]
-_TAGS = [
-    (r"^\p{Lu}", "PROPN"),
-    (r"^[0-9]", "NUM"),
-    (r"^[^\p{L}\p{N}]+$", "PUNCT"),
-    (r"(tion|ment|ung|ción)[.,]?$", "NOUN"),
-    (r"^.{1,3}$", "DET"),
-]
-# What a form must have for a pattern to match, looked for before the pattern itself.
-_NEEDED = {
-    "NOUN": lambda form: F.contains(form, F.lit("n"))
-    & (F.contains(form, F.lit("tion")) | F.contains(form, F.lit("ment")) | F.contains(form, F.lit("ung")) | F.contains(form, F.lit("ción"))),
-    "DET": lambda form: F.length(form) <= 5,
-}
-
 
 def trees(spark, sf, reach: int = 3):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    sentences = tk.split_sentences(docs).withColumn("sent_no", F.col("sent_no").cast("bigint"))
-    rows = sentences.select(*KEYS, tx.words(F.col("sentence")).alias("forms"))
-    n = F.size("forms")
-    # The numbers of a sentence are the variable of an outer lambda: they are worked out once, not once per token.
-    numbers = F.struct(
-        F.floor((n + 1) / 2).cast("int").alias("m"), F.least(F.lit(reach), 1 + F.pmod(n, F.lit(3))).alias("spread")
-    )
-    with_numbers = lambda values: F.transform(F.array(numbers), values)[0]
-
-    def tag(form):
-        chain = None
-        for pattern, name in _TAGS:
-            found = form.rlike(pattern) if name not in _NEEDED else _NEEDED[name](form) & form.rlike(pattern)
-            chain = F.when(found, name) if chain is None else chain.when(found, name)
-        chain = chain.otherwise("VERB")
-        # A small ASCII letter in front rules out the patterns of the first character.
-        short = (F.octet_length(form) <= 3) & (F.octet_length(form) == F.length(form))
-        later = F.when(_NEEDED["NOUN"](form), chain).when(short, "DET").when(F.length(form) <= 5, chain).otherwise("VERB")
-        return F.when((form >= "a") & (form < "{"), later).otherwise(chain)
-
-    def head(c, form, i):
-        at, m = i + 1, c["m"]
-        return (
-            F.when(at == m, 0)
-            .when(at < m, at + 1 + F.pmod(F.length(form), F.least(c["spread"], m - at)))
-            .otherwise(at - 1 - F.pmod(F.length(form), F.least(c["spread"], at - m)))
-        )
-
-    def label(c, form, i):
-        names = lambda side: F.get(F.lit([f"{side}{k}" for k in range(3)]), F.pmod(F.length(form), F.lit(3)))
-        return F.when(i + 1 < c["m"], names("l")).when(i + 1 > c["m"], names("r")).otherwise(names("root"))
-
-    arrays = F.struct(
-        "forms",
-        F.transform("forms", tag).alias("upos"),
-        with_numbers(lambda c: F.transform("forms", lambda form, i: head(c, form, i))).alias("heads"),
-        with_numbers(lambda c: F.transform("forms", lambda form, i: label(c, form, i))).alias("labels"),
+    rows = tk.split_sentences(docs).select("doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), "sentence")
+    keys = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in KEYS)
+    return rows.mapInArrow(
+        partial(grow, reach=reach, keys=KEYS), f"{keys}, forms array<string>, upos array<string>, heads array<int>, labels array<string>"
     )
-    # The generator keeps the optimizer from moving these expressions into the
-    # lambdas that read the arrays by index, where they would run once per token.
-    return rows.select(*KEYS, F.inline(F.array(arrays)))
 
 
-_TAG_SQL = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for p, n in _TAGS) + " ELSE 'VERB' END"
+_TAG_SQL = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for p, n in TAGS) + f" ELSE '{OTHER}' END"
 
 
 def trees_sql(reach: int = 3) -> str:

@@ -7,7 +7,12 @@ A tree table has one row per sentence: key columns and the parallel arrays
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import compute
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexispark.functions.draws import draw
@@ -62,18 +67,26 @@ def corpus_edges(trees: DataFrame) -> DataFrame:
     )
 
 
-def readable_arcs(trees: DataFrame, keys: list[str]) -> DataFrame:
-    """``label(head-word:TAG,id-word:TAG)`` per sentence, one arc after another."""
-
-    def arc(form, i):
-        at = F.get("heads", i) - 1
-        governor = F.concat(F.get("heads", i).cast("string"), F.lit("-"), F.get("forms", at), F.lit(":"), F.get("upos", at))
-        return F.concat(
-            F.get("labels", i), F.lit("("), F.coalesce(governor, F.lit("0-ROOT")), F.lit(","),
-            (i + 1).cast("string"), F.lit("-"), form, F.lit(":"), F.get("upos", i), F.lit(")"),
-        )
+def _spell_arcs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        forms, upos, labels = (batch[c].flatten() for c in ("forms", "upos", "labels"))
+        begins, heads = _begins(batch["forms"]), batch["heads"].flatten().to_numpy()
+        base = np.repeat(begins[:-1], np.diff(begins))
+        at = pa.array(base + heads - 1, mask=heads == 0)
+        number = lambda n: pa.array(n).cast(pa.string())
+        join = lambda *parts: compute.binary_join_element_wise(*parts, "")
+        governor = join(number(heads), "-", forms.take(at), ":", upos.take(at))
+        own = join(number(np.arange(1, len(forms) + 1) - base), "-", forms, ":", upos)
+        arcs = join(labels, "(", compute.fill_null(governor, "0-ROOT"), ",", own, ")")
+        text = compute.binary_join(pa.ListArray.from_arrays(pa.array(begins, pa.int32()), arcs), " ")
+        yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), text], [*keys, "arcs"])
+
 
-    return trees.select(*keys, F.array_join(F.transform("forms", arc), " ").alias("arcs"))
+def readable_arcs(trees: DataFrame, keys: list[str]) -> DataFrame:
+    """``label(head-word:TAG,id-word:TAG)`` per sentence, one arc after another; spelt in Arrow, a batch of sentences at a time."""
+    rows = trees.select(*keys, "forms", "upos", "heads", "labels")
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.mapInArrow(partial(_spell_arcs, keys=keys), f"{schema}, arcs string")
 
 
 def neighbors(edges: DataFrame, node: str) -> DataFrame:
@@ -336,27 +349,50 @@ def split_at_root(trees: DataFrame, keys: list[str], max_len: int, min_len: int
     )
 
 
+def _begins(lists: pa.Array) -> np.ndarray:
+    """Where the elements of each row begin, and the last one's end, among those of all rows."""
+    lengths = compute.fill_null(compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+def _without_crossings(lists: pa.Array) -> pa.Array:
+    begins = _begins(lists)
+    n = np.diff(begins)
+    row = np.repeat(np.arange(len(n)), n)
+    own = np.arange(1, len(row) + 1) - begins[row]
+    # A token without head hangs on itself.
+    heads = lists.flatten().to_numpy(zero_copy_only=False)
+    heads = np.where(np.isnan(heads), own, heads).astype(np.int64) if heads.dtype.kind == "f" else heads.astype(np.int64)
+    # Every row has places 0, 1, ... up to its last token or head.
+    last = n.copy()
+    np.maximum.at(last, row, heads)
+    first = np.concatenate([[0], np.cumsum(last + 1)])
+    left, right = first[row] + np.minimum(heads, own), first[row] + np.maximum(heads, own)
+    # The farthest places that arcs from a place reach, then from 2, 4, 8, ... places in a row.
+    lo, hi = np.arange(first[-1]), np.arange(first[-1])
+    np.minimum.at(lo, right, left)
+    np.maximum.at(hi, left, right)
+    ok = np.ones(len(n), bool)
+    inner = np.maximum(right - left - 1, 0)
+    width = 1
+    while (inner >= width).any():
+        some = np.flatnonzero((inner >= width) & (inner < 2 * width))
+        a, b = left[some] + 1, right[some] - width
+        crossed = (np.minimum(lo[a], lo[b]) < left[some]) | (np.maximum(hi[a], hi[b]) > right[some])
+        ok[row[some[crossed]]] = False
+        lo, hi = np.minimum(lo[:-width], lo[width:]), np.maximum(hi[:-width], hi[width:])
+        width *= 2
+    return pa.array(ok, mask=lists.is_null().to_numpy(zero_copy_only=False))
+
+
 def is_projective(heads: Column) -> Column:
     """True when no two arcs cross, the root arc included.
 
-    Arcs are swept from left to right; the open right ends form a stack, and an
-    arc that ends beyond an open one crosses it.
+    An arc is crossed when a place inside it is joined to one outside. What the
+    places inside reach is looked up in ranges of 1, 2, 4, ... places, for a
+    batch of sentences at a time, in Arrow.
     """
-    arcs = F.array_sort(
-        F.transform(
-            heads, lambda h, i: F.struct(F.least(h, i + 1).alias("l"), (-F.greatest(h, i + 1)).alias("minus_r"))
-        )
-    )
-    start = F.struct(F.array().cast("array<int>").alias("open"), F.lit(True).alias("ok"))
-
-    def sweep(state, arc):
-        still = F.filter(state["open"], lambda r: r > arc["l"])
-        crossed = F.exists(still, lambda r: r < -arc["minus_r"])
-        return F.struct(
-            F.concat(still, F.array(-arc["minus_r"])).alias("open"), (state["ok"] & ~crossed).alias("ok")
-        )
-
-    return F.aggregate(arcs, start, sweep, lambda s: s["ok"])
+    return F.arrow_udf(_without_crossings, "boolean")(heads)
 
 
 def attachment_scores(gold: DataFrame, pred: DataFrame, keys: list[str], skip_punct: bool = True) -> DataFrame:

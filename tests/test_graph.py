@@ -197,3 +197,37 @@ def test_tags_equal_their_patterns(spark, monkeypatch):
             chain = F.when(hit, name) if chain is None else chain.when(hit, name)
         want = {r.w: r.t for r in frame.select("w", chain.otherwise("VERB").alias("t")).collect()}
         assert row.upos == [want[w] for w in row.forms]
+
+
+def test_rule_trees_of_a_batch(spark):
+    """Trees are grown a batch at a time (a plan test) and equal the rule, token by token."""
+    import re
+
+    from lexispark.functions.rule_trees import grow
+    import pyarrow as pa
+
+    texts = ["Station élan 12 ... the ab   Ünion", "x", "a b  c\td e f g nation, Größe", ""]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "sentence": texts})
+    rows = next(grow(iter([batch]), 3, ["id"])).to_pylist()
+    for text, r in zip(texts, rows, strict=True):
+        forms = re.findall(r"[^ \t\n\x0b\f\r]+", text)
+        n, m = len(forms), (len(forms) + 1) // 2
+        spread = min(3, 1 + n % 3)
+        assert r["forms"] == forms
+        for i, form in enumerate(forms, 1):
+            k = len(form)
+            head = 0 if i == m else i + 1 + k % min(spread, m - i) if i < m else i - 1 - k % min(spread, i - m)
+            assert (r["heads"][i - 1], r["labels"][i - 1]) == (head, ("root" if i == m else "l" if i < m else "r") + str(k % 3))
+    assert rows[0]["upos"] == ["PROPN", "VERB", "NUM", "PUNCT", "DET", "DET", "PUNCT", "PROPN"]
+    assert rows[2]["upos"][-2:] == ["NOUN", "PROPN"]
+
+
+def test_arcs_and_crossings_are_found_a_batch_at_a_time(spark, trees):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    arcs = gr.readable_arcs(trees, ["id"])
+    assert "MapInArrow" in plan(arcs)
+    assert {r.id: r.arcs for r in arcs.collect()}[1] == "nsubj(2-eats:VERB,1-She:PRON) root(0-ROOT,2-eats:VERB) obj(2-eats:VERB,3-fish:NOUN)"
+    heads = spark.createDataFrame([(0, [2, 0, 2]), (1, None), (2, []), (3, [3, 4, 0, 3]), (4, [9, 0, 1])], "id int, heads array<int>")
+    got = heads.select("id", gr.is_projective(F.col("heads")).alias("p"))
+    assert "ArrowEvalPython" in plan(got)
+    assert {r.id: r.p for r in got.collect()} == {0: True, 1: None, 2: True, 3: False, 4: False}
