@@ -16,7 +16,7 @@ from lexispark.catalog.registry import query, table
 from lexispark.catalog.sqlparts import numbered, sentences_sql, words_sql
 from lexispark.functions import text as tx
 from lexispark.functions.draws import draw_sql
-from lexispark.functions.rule_trees import OTHER, TAGS, grow
+from lexispark.functions.rule_trees import OTHER, TAGS as _TAGS, grow
 from lexispark.operators import graph as gr, metrics as mt, tokens as tk, transitions as tr
 from lexispark.plans.checkpoints import cut_lineage
 
@@ -31,7 +31,7 @@ def trees(spark, sf, reach: int = 3):
     )
 
 
-_TAG_SQL = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for p, n in TAGS) + f" ELSE '{OTHER}' END"
+_TAG_SQL = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for p, n in _TAGS) + f" ELSE '{OTHER}' END"
 
 
 def trees_sql(reach: int = 3) -> str:

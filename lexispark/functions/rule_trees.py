@@ -6,6 +6,7 @@ neighbours towards the middle, chosen by its own length.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,11 @@ TAGS = [
     (r"^.{1,3}$", "DET"),
 ]
 OTHER = "VERB"
+# To a JVM regex, `.` is no line end, and `$` also stands before the last one; a form holds no \n and no \r.
+_LINE_END = r"[\x{85}\x{2028}\x{2029}]"
+_ARROW_PATTERNS = [
+    re.sub(r"\$$", lambda _: f"{_LINE_END}?$", re.sub(r"^\^\.", lambda _: f"^{_LINE_END.replace('[', '[^')}", p)) for p, _ in TAGS
+]
 _TAG_NAMES = pa.array([name for _, name in TAGS] + [OTHER])
 _LABELS = pa.array([f"{side}{k}" for side in ("l", "root", "r") for k in range(3)])
 
@@ -29,7 +35,7 @@ def _tags(forms: pa.Array) -> np.ndarray:
     """Numbers of tags; a pattern looks at the forms that earlier ones left."""
     tags = np.full(len(forms), len(TAGS))
     left = np.arange(len(forms))
-    for number, (pattern, _) in enumerate(TAGS):
+    for number, pattern in enumerate(_ARROW_PATTERNS):
         found = compute.match_substring_regex(forms.take(pa.array(left)), pattern).to_numpy(zero_copy_only=False)
         tags[left[found]] = number
         left = left[~found]
