@@ -18,7 +18,7 @@ from lexispark.functions import text as tx
 from lexispark.functions.draws import draw_sql
 from lexispark.functions.rule_trees import OTHER, TAGS as _TAGS, grow
 from lexispark.operators import graph as gr, metrics as mt, tokens as tk, transitions as tr
-from lexispark.plans.checkpoints import cut_lineage
+from lexispark.plans.checkpoints import cut_lineage, stored
 
 KEYS = ["doc_id", "sent_no"]
 
@@ -143,7 +143,7 @@ def _pagerank_sql() -> str:
 
 @query("pagerank", _pagerank_sql())
 def pagerank(spark, sf):
-    parsed = cut_lineage(trees(spark, sf))
+    parsed = stored(trees(spark, sf), "trees")
     out = gr.pagerank(gr.corpus_nodes(parsed, KEYS), gr.corpus_edges(parsed), scaled=True)
     return out.select("node", F.round("rank", 6).alias("rank"))
 
@@ -161,7 +161,7 @@ def _eigenvector_sql() -> str:
 
 @query("eigenvector_centrality", _eigenvector_sql())
 def eigenvector_centrality(spark, sf):
-    parsed = cut_lineage(trees(spark, sf))
+    parsed = stored(trees(spark, sf), "trees")
     out = gr.eigenvector_centrality(gr.corpus_nodes(parsed, KEYS), gr.corpus_edges(parsed))
     return out.withColumn("centrality", F.round("centrality", 8))
 

@@ -13,11 +13,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyarrow import compute
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from lexispark.functions.draws import draw
 from lexispark.plans.blocked import row_numbers
-from lexispark.plans.checkpoints import cut_lineage, scratch_path
+from lexispark.plans.checkpoints import cut_lineage, remove_scratch, scratch_path, shuffles_removed, stored, write_scratch
 from lexispark.plans.numbering import number_rows
 
 
@@ -109,8 +109,6 @@ def in_degree(nodes: DataFrame, edges: DataFrame, n_nodes: int) -> DataFrame:
 
 #: Out-edges of a node that are kept together; those of a hub are cut into so many pieces.
 PIECE_EDGES = 100_000
-#: Rounds from one checkpoint of the state to the next.
-CHECKPOINT_ROUNDS = 5
 
 
 class _Rounds:
@@ -124,11 +122,8 @@ class _Rounds:
 
     def __init__(self, nodes: DataFrame, edges: DataFrame):
         self.spark = nodes.sparkSession
-        self.names = cut_lineage(integer_ids(nodes, "node"))
-        named = lambda side: self.names.select(F.col("node").alias(side), F.col("id").alias(f"{side}_id"))
-        flat = cut_lineage(
-            collapse(edges).join(named("src"), "src").join(named("dst"), "dst").select("src_id", "dst_id")
-        )
+        self.names = stored(integer_ids(nodes, "node"), "graph-names")
+        flat = _numbered_edges(edges, self.names)
         degree = flat.groupBy("src_id").agg(F.count("*").alias("out")).withColumn(
             "pieces", F.ceil(F.col("out") / PIECE_EDGES).cast("int")
         )
@@ -137,14 +132,16 @@ class _Rounds:
         self.table = f"edges_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         # One task a bucket writes one file of it.
-        placed.repartition(buckets, "src_id", "piece").write.bucketBy(buckets, "src_id", "piece").sortBy(
-            "src_id", "piece"
-        ).option("path", scratch_path(self.spark, "graph-edges")).saveAsTable(self.table)
+        with shuffles_removed(self.spark):
+            placed.repartition(buckets, "src_id", "piece").write.bucketBy(buckets, "src_id", "piece").sortBy(
+                "src_id", "piece"
+            ).option("path", scratch_path(self.spark, "graph-edges")).option("compression", "zstd").saveAsTable(self.table)
         known = self.names.select("id").join(degree.withColumnRenamed("src_id", "id"), "id", "left")
-        self.state = cut_lineage(known.select("id", F.coalesce("out", F.lit(0)).alias("out"), F.coalesce("pieces", F.lit(0)).alias("pieces")))
+        self.state = stored(
+            known.select("id", F.coalesce("out", F.lit(0)).alias("out"), F.coalesce("pieces", F.lit(0)).alias("pieces")), "graph-state"
+        )
         self.n = self.state.count()
-        self.held: DataFrame | None = None
-        self.round = 0
+        self.held: str | None = None
 
     def received(self, state: DataFrame, message: Column, kept: list[str]) -> DataFrame:
         """``id``, ``out``, ``pieces``, the columns ``kept`` and ``m``, the sum of what came in (0 if nothing)."""
@@ -160,25 +157,24 @@ class _Rounds:
             F.coalesce(F.sum("m"), F.lit(0.0)).alias("m"), *[F.max(c).alias(c) for c in old]
         )
 
-    def keep(self, state: DataFrame, *totals: Column):
-        """Hold the state of a round and return it with its totals: one job; lineage is cut every few rounds."""
-        self.round += 1
-        if self.round % CHECKPOINT_ROUNDS == 0:
-            state = cut_lineage(state)
-            held = None
-        else:
-            state = held = state.persist()
-        found = state.agg(*totals).first()
+    def keep(self, state: DataFrame, *totals: Column) -> tuple[DataFrame, dict]:
+        """Write the state of a round and return it with its totals: one job. The state before goes, and all shuffle files."""
+        if not self.n:
+            return state, {}
+        told = Observation()
+        path = write_scratch(state.observe(told, *totals), "graph-round")
+        self._forget(path)
+        return self.spark.read.schema(state.schema).parquet(path), told.get
+
+    def _forget(self, path: str | None) -> None:
         if self.held is not None:
-            self.held.unpersist()
-        self.held = held
-        return state, found
+            remove_scratch(self.spark, self.held)
+        self.held = path
 
     def close(self, state: DataFrame) -> DataFrame:
-        """The nodes by name with the last state, which needs neither the table nor the held rounds any more."""
-        last = cut_lineage(state)
-        if self.held is not None:
-            self.held.unpersist()
+        """The nodes by name with the last state, which needs neither the table nor the kept rounds any more."""
+        last = stored(state, "graph-last")
+        self._forget(None)
         self.spark.sql(f"DROP TABLE {self.table}")
         return self.names.join(last, "id")
 
@@ -262,13 +258,22 @@ def integer_labels(nodes: DataFrame, label: str = "first_label") -> tuple[DataFr
 
 def integer_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``src_id, dst_id``: the collapsed edge list in node numbers."""
-    ids = integer_ids(nodes, "node")
-    return (
-        collapse(edges)
-        .join(ids.select(F.col("node").alias("src"), F.col("id").alias("src_id")), "src")
-        .join(ids.select(F.col("node").alias("dst"), F.col("id").alias("dst_id")), "dst")
-        .select("src_id", "dst_id")
-    )
+    return _numbered_edges(edges, stored(integer_ids(nodes, "node"), "graph-names"))
+
+
+def _numbered_edges(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """The collapsed edges in numbers. Every shuffle is written out before the next one, so that one is on disk at a time."""
+    rows, path = edges, None
+    for step in ("collapsed", "src", "dst"):
+        if step == "collapsed":
+            rows = collapse(rows)
+        else:
+            rows = rows.join(names.select(F.col("node").alias(step), F.col("id").alias(f"{step}_id")), step).drop(step)
+        done, path = path, write_scratch(rows, f"graph-{step}")
+        rows = edges.sparkSession.read.schema(rows.schema).parquet(path)
+        if done:
+            remove_scratch(edges.sparkSession, done)
+    return rows.select("src_id", "dst_id")
 
 
 def merge_node_features(tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,14 +1,16 @@
 """Where intermediate results go.
 
-Lineage is cut only with ``checkpoint()`` into the folder named by
-``spark.checkpoint.dir``, so that it survives the loss of an executor. A
-machine-local folder is used in local mode alone.
+Lineage is cut only by writing to the folder named by ``spark.checkpoint.dir``,
+with ``checkpoint()`` or as Parquet files, so that it survives the loss of an
+executor. A machine-local folder is used in local mode alone.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,8 +41,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to a folder of their own and read back: wide arrays take less room there than in a checkpoint."""
+#: Spark's setting by which the shuffle files of an execution go as soon as it is over.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind; otherwise they stay until the driver collects its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def write_scratch(df: DataFrame, name: str) -> str:
+    """The folder that the rows were written to."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``write_scratch`` that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a folder of their own and read back: they take less room there than in a checkpoint, which is not packed."""
+    return df.sparkSession.read.parquet(write_scratch(df, name))

@@ -14,7 +14,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lexispark.plans.checkpoints import scratch_path
+from lexispark.plans.checkpoints import stored
 
 
 def number_rows(
@@ -26,11 +26,9 @@ def number_rows(
     ``order`` leaves equal get numbers in any order among them, which stay as they
     are once written. The rows are written to the shared scratch folder.
     """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, "numbered")
     by = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     laid = df.repartitionByRange(*by).sortWithinPartitions(*by)
-    laid.withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path).withColumn("__range", F.shiftright("__at", 33))
+    rows = stored(laid.withColumn("__at", F.monotonically_increasing_id()), "numbered").withColumn("__range", F.shiftright("__at", 33))
     counts = rows.groupBy(*keys, "__range").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     key = W.partitionBy(*keys)
     before = F.sum("__n").over(key.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +232,30 @@ def test_arcs_and_crossings_are_found_a_batch_at_a_time(spark, trees):
     got = heads.select("id", gr.is_projective(F.col("heads")).alias("p"))
     assert "ArrowEvalPython" in plan(got)
     assert {r.id: r.p for r in got.collect()} == {0: True, 1: None, 2: True, 3: False, 4: False}
+
+
+def test_rounds_leave_no_shuffle_files_and_one_state(spark, tmp_path, monkeypatch):
+    """The edges by name, the states before the last one, and what was shuffled for what is stored are gone."""
+    from lexispark.plans import checkpoints
+
+    monkeypatch.setattr(checkpoints, "shared_dir", lambda _: str(tmp_path))
+    pairs = [(f"n{i}", f"n{(i * 7 + k) % 50}") for i in range(50) for k in range(1, 4)]
+    ns = spark.createDataFrame([(f"n{i}",) for i in range(50)], "node string")
+    es = spark.createDataFrame([(a, b, "l") for a, b in pairs], "src string, dst string, label string")
+    rounds = gr._Rounds(ns, es)
+    state = rounds.state.withColumn("x", F.lit(1.0))
+    for _ in range(3):
+        got = rounds.received(state, F.col("x"), ["x"])
+        state, told = rounds.keep(got.select("id", "out", "pieces", F.col("m").alias("x")), F.sum("x").alias("total"))
+    names = [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()]
+    assert names.count("graph-round") == 1 and "graph-src" not in names and "graph-collapsed" not in names
+    assert told["total"] == state.agg(F.sum("x")).first()[0] > 50
+    rounds.close(state)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+    kept = files()
+    checkpoints.write_scratch(spark.range(100).repartition(3, "id"), "x")
+    deadline = time.time() + 20  # Spark removes them in the background
+    while files() - kept and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - kept
