@@ -226,3 +226,23 @@ def test_only_likely_entries_are_shuffled(spark):
     df = spark.createDataFrame([("k", ["a", "b", "c"]), (None, []), ("n", None), ("m", ["c"])], "id string, syllables array<string>")
     got = {r.id: (r.forward, r.backward) for r in sg.segment_longest_match(df, ["id"], "syllables", lex, 4).collect()}
     assert got == {"k": (["a b", "c"], ["a b", "c"]), None: ([], []), "n": (None, None), "m": (["c"], ["c"])}
+
+
+def test_words_stay_where_they_are_and_pieces_move_as_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, " Xin chào…  the Übung! "), (2, None), (3, ""), (4, "a"), (None, "b c")], "doc_id bigint, text string")
+    known = spark.createDataFrame([("the",), ("b",)], "entry string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    routed = tk.route_words(tk.word_rows(docs), known)
+    assert "Exchange hashpartitioning" not in plan(routed) and "Window" not in plan(routed)
+    got = sorted(routed.collect(), key=str)
+    monkeypatch.setattr(tk, "HELD_BYTES", 0)
+    assert sorted(tk.route_words(tk.word_rows(docs), known).select(routed.columns).collect(), key=str) == got
+    text = dict(docs.filter("text <> ''").collect())
+    assert all(text[r.doc_id][r.start : r.end] == r.word for r in got)
+    pieces = tk.piece_rows(routed)
+    want = {i: t.rstrip() for i, t in text.items()}
+    assert dict(tk.decode_pieces(pieces).collect()) == want
+    assert plan(tk.decode_pieces(pieces)).count("Exchange hashpartitioning") == 1 and "Window" not in plan(tk.decode_pieces(pieces))
+    # Pieces of a document in batches that reach into one another.
+    spread = pieces.repartition(5, F.xxhash64("start", "piece"))
+    assert spread.count() > 12 and dict(tk.decode_pieces(spread).collect()) == want
