@@ -246,3 +246,20 @@ def test_words_stay_where_they_are_and_pieces_move_as_texts(spark, monkeypatch):
     # Pieces of a document in batches that reach into one another.
     spread = pieces.repartition(5, F.xxhash64("start", "piece"))
     assert spread.count() > 12 and dict(tk.decode_pieces(spread).collect()) == want
+
+
+def test_rows_move_packed_to_their_block(spark):
+    from lexispark.plans.blobs import packed, unpacked
+    import pyarrow as pa
+
+    rows = [(i, None if i % 7 == 0 else ["a", None, "ç" * (i % 4)], i * 5 % 3 - 1) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, xs array<string>, block bigint").coalesce(1)
+    blobs = packed(df, "block").collect()
+    assert sorted(r.block for r in blobs) == [-1, 0, 1]
+    for r in blobs:
+        found = unpacked(pa.chunked_array([pa.array([bytes(r.blob)], pa.binary())])).to_pylist()
+        assert [(x["id"], x["xs"]) for x in found] == [(i, xs) for i, xs, b in rows if b == r.block]
+    assert packed(df.limit(0), "block").count() == 0
+    lex = spark.createDataFrame([("a b",)], "entry string")
+    plan = sg.segment_longest_match(df.select("id", F.array(F.lit("a"), F.lit("b")).alias("s")), ["id"], "s", lex)._jdf.queryExecution().optimizedPlan().toString()
+    assert "blob" in plan
